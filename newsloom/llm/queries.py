@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import substring_dedup, suffix_dedup
 
-QUERIES = {"op9_substring_dedup": substring_dedup.op9_substring_dedup}
+QUERIES = {
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+}
 SQL: dict[str, str] = {}
