@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup, suffix_dedup
+from . import lm_scoring, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op5_simhash_golay": simhash.op5_simhash_golay,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op8_context_tree_scoring": lm_scoring.op8_context_tree_scoring,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
 }
 SQL: dict[str, str] = {}
