@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, simhash, substring_dedup, suffix_dedup
+from . import decontaminate, lm_scoring, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op5_simhash_golay": simhash.op5_simhash_golay,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op8_context_tree_scoring": lm_scoring.op8_context_tree_scoring,
