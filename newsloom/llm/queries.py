@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_scoring, simhash, substring_dedup, suffix_dedup
+from . import decontaminate, lm_scoring, simhash, substring_dedup, suffix_dedup, token_output
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op8_context_tree_scoring": lm_scoring.op8_context_tree_scoring,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_wavelet_tokens": token_output.op10_wavelet_tokens,
 }
 SQL: dict[str, str] = {}
