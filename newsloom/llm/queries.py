@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_scoring, simhash, substring_dedup, suffix_dedup, token_output
+from . import decontaminate, lm_scoring, sentencepiece_viterbi, simhash, substring_dedup, suffix_dedup, token_output
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_viterbi.op1_sentencepiece,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op5_simhash_golay": simhash.op5_simhash_golay,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
