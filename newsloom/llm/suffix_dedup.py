@@ -23,15 +23,16 @@ from .suffix_array import permuted_common_prefix, suffix_array
 
 WINDOW, GRAM = 200, 32
 _POSITION = np.uint64((1 << 24) - 1)
-_PIECE = 8_000_000
+SORTED_BYTES = 1_500_000  # of contexts in one suffix array
+PIECE = 1_000_000  # bytes hashed at once; bounds a task's arrays whatever the documents' lengths
 
 
 class _Contexts:
     """Anchors and contexts of one chunk."""
 
-    def __init__(self, table: pa.Table, window: int, gram: int):
+    def __init__(self, table: pa.Table, window: int, gram: int, piece: int):
         self.data, self.offsets = C.text_bytes(table)
-        found = [self._piece(a, b, window, gram) for a, b in self._pieces(window)]
+        found = [self._piece(a, b, window, gram) for a, b in self._pieces(window, piece)]
         self.anchor, self.hash, self.start, self.n = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, t) for k, t in enumerate((np.uint64, np.uint64, np.int64, np.int64)))
         order = np.lexsort((self.hash, self.anchor))
         a, h = self.anchor[order], self.hash[order]
@@ -42,18 +43,18 @@ class _Contexts:
         self.of[order] = np.repeat(np.arange(len(lead)), np.diff(np.r_[lead, len(a)]))
         self.first = order[lead]
 
-    def _pieces(self, window: int) -> list[tuple[int, int]]:
-        """Runs of documents of up to _PIECE bytes; longer documents in overlapping slices."""
+    def _pieces(self, window: int, piece: int) -> list[tuple[int, int]]:
+        """Runs of documents of up to ``piece`` bytes; longer documents in overlapping slices."""
         out, begin = [], 0
         for i, j in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True):
-            if j - begin <= _PIECE:
+            if j - begin <= piece:
                 continue
             if i > begin:
                 out.append((begin, i))
             begin = i
-            while j - begin > _PIECE:
-                out.append((begin, begin + _PIECE + window - 1 if begin + _PIECE + window - 1 < j else j))
-                begin += _PIECE
+            while j - begin > piece:
+                out.append((begin, min(begin + piece + window - 1, j)))
+                begin += piece
         if self.offsets[-1] > begin:
             out.append((begin, int(self.offsets[-1])))
         return out
@@ -113,7 +114,27 @@ def _together(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[int], np.nd
     return a, which, sizes, order, new
 
 
-def byte_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _again(contexts: list[np.ndarray], n_windows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each place of the joined contexts starts a window that starts at another place too; the windows' places."""
+    length = n_windows + window - 1
+    # bytes of UTF-8 are below F8, so two codes stay free: 1 ends a context, 0 ends the string
+    t = np.ones(int(length.sum()) + len(length) + 1, np.uint8)
+    begin = np.cumsum(length + 1) - length - 1
+    for b, c in zip(begin.tolist(), contexts, strict=True):
+        t[b : b + len(c)] = c + np.uint8(2)
+    t[-1] = 0
+    edge = np.zeros(len(t), np.int32)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, begin + n_windows, -1)
+    at = np.cumsum(edge) > 0
+    sa = suffix_array(t, 2 * window)
+    shared = permuted_common_prefix(t, sa, at, window) >= window
+    again = shared.copy()
+    again[sa[:-1][shared[sa[1:]]]] = True
+    return again, np.flatnonzero(at)
+
+
+def byte_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every byte covered by a ``window``-byte string (a multiple of 8) that also starts anywhere else.
 
     Returns per input row: doc_id, n_bytes, n_removed, spans (array of start and end of each maximal removed run, in
@@ -122,13 +143,13 @@ def byte_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     """
     docs = C.id_text(docs, id_col, text_col)
     n = C.chunk_count(docs)
-    buckets = max(C.LEAST_CHUNKS, n // 4)
+    buckets = max(C.LEAST_CHUNKS, n // 2)
     chunks = C.with_chunks(docs, n)
     width = window - gram + 1
     row_bytes = -(-width // 8)
 
     def keys(table: pa.Table) -> pa.Table:
-        chunk, c = table.column("chunk")[0].as_py(), _Contexts(table, window, gram)
+        chunk, c = table.column("chunk")[0].as_py(), _Contexts(table, window, gram, piece)
         return _table(_SENT_T, [(b, chunk, C.pack(c.keys[0][i:j]), C.pack(c.keys[1][i:j]), np.packbits(c.several[i:j]).tobytes()) for b, i, j in C.parts(C.bucket_of(c.keys[0], buckets))])
 
     def repeated(table: pa.Table) -> pa.Table:
@@ -152,7 +173,7 @@ def byte_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     def contexts(key, table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table(_FULL_T, [])
-        c = _Contexts(table, window, gram)
+        c = _Contexts(table, window, gram, piece)
         cuts = C.parts(C.bucket_of(c.keys[0], buckets))
         code, text, rows = _codes(c, cuts, answers), c.data.tobytes(), []
         for b, i, j in cuts:
@@ -165,30 +186,25 @@ def byte_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
 
     def shard(table: pa.Table) -> pa.Table:
         """Bits for each context: which of its windows start anywhere else."""
-        _, which, sizes, _, _ = _together(table)
+        anchors, which, sizes, _, _ = _together(table)
         code = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("flags").to_pylist()])
         owner = which[(code & SENDER) > 0]  # in the order of the bytes
         n_windows = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("sizes").to_pylist()]).astype(np.int64)
         raw = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
         length = n_windows + window - 1
-        begin = np.cumsum(length + 1) - length - 1
-        # bytes of UTF-8 are below F8, so two codes stay free: 1 ends a context, 0 ends the string
-        place = np.arange(len(raw)) + np.repeat(np.arange(len(length)), length)
-        t = np.ones(len(raw) + len(length) + 1, np.uint8)
-        t[place] = raw + 2
-        t[-1] = 0
-        at = np.zeros(len(t), np.int32)
-        np.add.at(at, begin, 1)
-        np.add.at(at, begin + n_windows, -1)
-        at = np.cumsum(at) > 0
-        sa = suffix_array(t, 2 * window)
-        shared = permuted_common_prefix(t, sa, at, window) >= window
-        again = shared.copy()
-        again[sa[:-1][shared[sa[1:]]]] = True
+        begin = np.cumsum(length) - length
         bits = np.zeros((int(which.max()) + 1, row_bytes * 8), bool)
-        row = np.repeat(np.arange(len(length)), n_windows)
-        col = np.arange(len(row)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-        bits[owner[row], col] = again[begin[row] + col]
+        order = np.argsort(anchors[(code & SENDER) > 0], kind="stable")
+        # only contexts of one anchor need to meet, so a shard is sorted in pieces of whole anchors
+        by_anchor = anchors[(code & SENDER) > 0][order]
+        new = np.r_[True, by_anchor[1:] != by_anchor[:-1]]
+        piece_of = (np.maximum.accumulate(np.where(new, np.cumsum(length[order]) - length[order], 0)) // SORTED_BYTES)
+        for _, i, j in C.parts(piece_of):
+            some = order[i:j]
+            again, at = _again([raw[x : x + k] for x, k in zip(begin[some].tolist(), length[some].tolist(), strict=True)], n_windows[some], window)
+            row = np.repeat(owner[some], n_windows[some])
+            first = np.cumsum(n_windows[some]) - n_windows[some]
+            bits[row, np.arange(len(row)) - np.repeat(first, n_windows[some])] = again[at]
         bits[which[(code & SEVERAL) > 0]] = True
         packed = np.packbits(bits, axis=1)[which]
         ends = np.cumsum(sizes)
@@ -198,7 +214,7 @@ def byte_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
         if not table.num_rows:
             return schema.empty_table()
-        c = _Contexts(table, window, gram)
+        c = _Contexts(table, window, gram, piece)
         cuts = C.parts(C.bucket_of(c.keys[0], buckets))
         code, got = _codes(c, cuts, answers), _answers(answers, 1)
         edge = np.zeros(len(c.data) + 1, np.int32)
