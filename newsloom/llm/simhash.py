@@ -69,40 +69,75 @@ def golay_keys(fps: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1)
 
 
-def _with_keys(classes: DataFrame) -> DataFrame:
+def pair_keys(fps: np.ndarray) -> np.ndarray:
+    """Up to 108 keys: a nearby index of one segment with one of another. Of at most five differing bits, two of the three
+    segments hold two or fewer each, and words within two bits share an index, as the balls around them meet."""
+    index = [nearby_indices(((fps >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype(np.int64)).astype(np.int64) for at, size in SEGMENTS]
+    keys = []
+    for k in range(3):
+        a, b = index[k][:, :, None], index[(k + 1) % 3][:, None, :]
+        keys.append(np.where((a >= 0) & (b >= 0), (k << 24) | (a << 12) | b, -1).reshape(len(fps), -1))
+    return np.concatenate(keys, axis=1)
+
+
+def _with_keys(classes: DataFrame, keys_of=golay_keys, columns: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """One row for each key of the first column's fingerprint, with the other columns and the class's representative."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("fp", "rep"))
-            keys = golay_keys(fp.view(np.uint64))
+            values = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*columns, "rep")]
+            keys = keys_of(values[0].view(np.uint64))
             row, col = np.nonzero(keys >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[row, col]), pa.array(fp[row]), pa.array(rep[row])], ["key", "fp", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, col]), *(pa.array(v[row]) for v in values)], ["key", *columns, "rep"])
+
+    return classes.select(*columns, "rep").mapInArrow(run, ", ".join(f"{c} long" for c in ("key", *columns, "rep")))
 
-    return classes.mapInArrow(run, "key long, fp long, rep long")
 
+def _links(sorted_keys: DataFrame, distances: dict[str, int]) -> DataFrame:
+    """Verified links among rows of equal key, which stand together; a run that a batch cuts is carried on.
 
-def _links(sorted_keys: DataFrame, distance: int) -> DataFrame:
-    """Verified links among rows of equal key, which stand together; a run that a batch cuts is carried on."""
+    Only links that join two so far unconnected rows of a run are given, and rows already connected are not compared any
+    more, so a group of near copies yields as many links as members and the components stay the same.
+    """
+    columns = ("key", *distances, "rep")
 
-    def pairs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
-        live, step = np.arange(len(key) - 1), 1
-        while len(live):
+    def spanning(key: np.ndarray, fps: list[np.ndarray], rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parent, live, step = np.arange(len(key)), np.arange(len(key) - 1), 1
+        while True:
             live = live[live + step < len(key)]
             live = live[key[live] == key[live + step]]
-            hit = live[np.bitwise_count(fp[live] ^ fp[live + step]) <= distance]
-            if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(rep[hit + step])], ["a", "b"])
+            if not len(live):
+                return
+            hit = live[parent[live] != parent[live + step]]
+            for fp, most in zip(fps, distances.values(), strict=True):
+                hit = hit[np.bitwise_count(fp[hit] ^ fp[hit + step]) <= most]
+            kept = []
+            for i in hit.tolist():
+                a, b = i, i + step
+                while parent[a] != a:
+                    a = parent[a]
+                while parent[b] != b:
+                    b = parent[b]
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    kept.append(i)
+            if kept:
+                while (up := parent[parent]).tobytes() != parent.tobytes():
+                    parent = up
+                at = np.array(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(rep[at + step])], ["a", "b"])
             step += 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = tuple(np.zeros(0, np.int64) for _ in range(3))
+        rest = tuple(np.zeros(0, np.int64) for _ in columns)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, fp, rep = (np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, ("key", "fp", "rep"), strict=True))
+            key, *fps, rep = (np.concatenate([r, batch.column(c).to_numpy(zero_copy_only=False)]) for r, c in zip(rest, columns, strict=True))
             cut = int(np.searchsorted(key, key[-1]))
-            yield from pairs(key[:cut], fp[:cut].view(np.uint64), rep[:cut])
-            rest = key[cut:], fp[cut:], rep[cut:]
-        yield from pairs(rest[0], rest[1].view(np.uint64), rest[2])
+            yield from spanning(key[:cut], [f[:cut].view(np.uint64) for f in fps], rep[:cut])
+            rest = key[cut:], *(f[cut:] for f in fps), rep[cut:]
+        yield from spanning(rest[0], [f.view(np.uint64) for f in rest[1:-1]], rest[-1])
 
     return sorted_keys.mapInArrow(run, "a long, b long")
 
@@ -118,7 +153,7 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "d
     classes = C.checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     known = classes.where("rep is not null")
     keyed = _with_keys(known)
-    links = _links(keyed.repartition("key").sortWithinPartitions("key"), DISTANCE)
+    links = _links(keyed.repartition("key").sortWithinPartitions("key"), {"fp": DISTANCE})
     same_id = fps.where("doc_id is not null").join(known, "fp").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n"))
     ids = same_id.where("n > 1").select(F.col("most").alias("a"), F.col("least").alias("b"))
     own = known.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
@@ -128,6 +163,37 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "d
     return fps.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+NEAR_SHINGLE, NEAR_BITS, WORD_BITS = 5, 14, 7  # a similarity of 0.8 means ten bits of the shingles, give or take three
+
+
+def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, bits: int = NEAR_BITS, word_bits: int = WORD_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row with an id: documents of about 0.8 of five-word shingles in common.
+
+    Fingerprints of shingles drift too far apart for exact keys (about ten bits at a similarity of 0.8), so Golay keys are taken
+    from a second fingerprint, of the distinct words, where near copies lie within few bits (up to five are found for certain, most
+    of seven); both distances are verified.
+    Null and blank texts count as copies of each other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = C.text_bytes(pa.Table.from_batches([batch]))
+            text, both = data.tobytes(), []
+            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                both.append((fingerprint(np.unique(shingle_hashes(text[i:j], 1))), fingerprint(shingle_hashes(text[i:j], shingle))))
+            fps = np.array(both, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], ["doc_id", "fw", "fs"])
+
+    rows = C.id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
+    prints = C.checkpoint(rows.mapInArrow(run, "doc_id long, fw long, fs long"))
+    classes = C.checkpoint(prints.groupBy("fw", "fs").agg(F.min("doc_id").alias("rep")))
+    keyed = _with_keys(classes, pair_keys, ("fw", "fs"))
+    links = _links(keyed.repartition("key").sortWithinPartitions("key"), {"fw": word_bits, "fs": bits})
+    components = connected_components(links)
+    labels = classes.join(components, classes["rep"] == components["node"], "left").select("fw", "fs", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(labels, ["fw", "fs"]).select("doc_id", "component_id")
+
+
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(C.read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
