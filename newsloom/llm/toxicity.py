@@ -72,7 +72,7 @@ def _model(df: DataFrame, before: list[str], category: str) -> LogisticRegressio
     n, ones = df.agg(F.count("*"), F.sum(f"y_{category}")).first()
     if not n or not 0 < (ones or 0) < n:
         return float(ones or 0) / n if n else 0.0
-    fit = LogisticRegression(featuresCol="features_", labelCol=f"y_{category}", regParam=2e-4, elasticNetParam=0.5, maxIter=60, tol=1e-5, standardization=False)
+    fit = LogisticRegression(featuresCol="features_", labelCol=f"y_{category}", regParam=2e-4, elasticNetParam=0.5, maxIter=30, tol=1e-4, standardization=False)
     return fit.fit(_assembled(df, before))
 
 
