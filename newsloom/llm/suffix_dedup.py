@@ -76,7 +76,8 @@ class _Contexts:
         change = np.r_[True, where[1:] != where[:-1]]
         start = np.flatnonzero(valid & (change | np.r_[True, ~valid[:-1]]))
         last = np.flatnonzero(valid & (np.r_[change[1:], True] | np.r_[~valid[1:], True]))
-        return g[where[start].astype(np.int64)], roll(start, last + window), start + low, last - start + 1
+        # the smallest hashes crowd at the low end of their range: mixed once more, they spread over all buckets
+        return C.mix(g[where[start].astype(np.int64)]), roll(start, last + window), start + low, last - start + 1
 
 
 _SENT = "bucket int, chunk int, anchors binary, hashes binary, flags binary"
