@@ -8,6 +8,7 @@ knows; a reader gets token access, counts and places of any token from that one
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,72 +22,59 @@ from pyspark.sql import functions as F
 from . import common as C
 from .wavelet import WaveletMatrix
 
-SHARD_BYTES, END_ID, CACHED = 8_000_000, 2, 300_000
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)")
-_SPACE = re.compile(r"\s")
+SHARD_BYTES, END_ID, CACHED, ROW = 8_000_000, 2, 300_000, 512
+_UNEVEN = re.compile(r"\A\s| (?:\s|\Z)")  # white space at the start, or around a space, or a space at the end
 
 
 class ByteLevelEncoder:
     """Whole texts through the tokenizers library, which is asked once for each distinct word.
 
     A byte-level tokenizer without normaliser cuts a text before every single space that precedes a word, whatever stands
-    around, and encodes the pieces on their own; a text in which all words are parted by single spaces is hence
-    the sum of its words' ids. Other texts go to the library whole. Words ending in plain punctuation are two pieces.
+    around, and encodes the pieces on their own; a text in which all words are parted by single spaces is hence the sum of
+    its words' ids, and new words can be asked for in rows. Other texts go to the library whole.
     """
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
+        self.opens[[k for token, k in vocab.items() if token[:1] == "Ġ"]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of words behind a space
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: set[str]) -> None:
-        """Keys hold their leading space, if any. Split what is surely two pieces, then ask for the rest at once."""
-        ask, made = set(), {}
-        for key in keys:
-            bare = key[1:] if key[0] == " " else key
-            if m := _PLAIN.fullmatch(bare):
-                made[key] = parts = [key[: len(key) - len(m[2])], m[2]]
-            elif "\n" in bare and all(x and not _SPACE.search(x) for x in bare.split("\n")):
-                made[key] = parts = [x for k, y in enumerate(key.split("\n")) for x in (("\n", y) if k else (y,))]
-                for p in list(parts):
-                    if m := _PLAIN.fullmatch(p[1:] if p[0] == " " else p):
-                        parts[parts.index(p) : parts.index(p) + 1] = [p[: len(p) - len(m[2])], m[2]]
-            else:
-                ask.add(key)
+    def _learn(self, words: list[str]) -> None:
+        """In rows, each word behind a space: each token that begins with a space begins a word."""
+        for i in range(0, len(words), ROW):
+            row = words[i : i + ROW]
+            raw = self._ask([" " + " ".join(row)])[0]
+            starts = np.flatnonzero(self.opens[np.frombuffer(raw, np.uint32)]) * 4
+            if len(starts) != len(row):
+                self.known.update(zip(row, self._ask([" " + w for w in row]), strict=True))
                 continue
-            ask.update(p for p in parts if p not in self.known)
-        asked = list(ask)
-        self.known.update(zip(asked, self._ask(asked), strict=True))
-        for key, parts in made.items():
-            self.known[key] = b"".join([self.known[p] for p in parts])
+            self.known.update(zip(row, map(raw.__getitem__, map(slice, starts.tolist(), [*starts[1:].tolist(), len(raw)])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         if len(self.known) > CACHED:
             self.known = {}
-        cut, whole = {}, []
+        known, cut, whole = self.known, {}, []
         for i, text in enumerate(texts):
-            words = text.split(" ")
-            plain = "" not in words and not any(map(str.isspace, [w[0] for w in words])) and not any(s in text for s in self.special)
-            if plain:
-                cut[i] = words
+            if text and not _UNEVEN.search(text) and not any(s in text for s in self.special):
+                cut[i] = text.split(" ")
             elif text:
                 whole.append(i)
-        spaced, first = set(), set()
-        for words in cut.values():
-            first.add(words[0])
-            spaced.update(words[1:])
-        need = first.union([" " + w for w in spaced])
-        self._learn({k for k in need if k not in self.known})
-        local = {w: self.known[" " + w] for w in spaced}
+        first = {words[0] for words in cut.values()}
+        heads = dict(zip(first, self._ask(list(first)), strict=True))
+        self._learn(list({w for words in cut.values() for w in words[1:] if w not in known}))
         out = [b""] * len(texts)
         for i, words in cut.items():
-            out[i] = self.known[words[0]] + b"".join(map(local.__getitem__, words[1:]))
+            out[i] = heads[words[0]] + b"".join(map(known.__getitem__, words[1:]))
         for i, ids in zip(whole, self._ask([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
