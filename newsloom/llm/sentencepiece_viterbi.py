@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPACE = "▁"
-CACHED = 300_000
+CACHED, KEPT = 1_000_000, 64  # stretches remembered, and the characters of the longest of them
 
 
 class Model:
@@ -48,12 +48,13 @@ class Model:
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(m.pieces) if p.type == 6}
         self.longest = max(map(len, self.pieces), default=1)
         self.unknown_score = min((self.score[k] for k in self.pieces.values()), default=0.0) - 10
-        self.trie: dict = {}
+        self.trie: dict = {}  # character -> [piece that ends with it or -1, what may follow]
         for piece, k in self.pieces.items():
             node = self.trie
             for ch in piece:
-                node = node.setdefault(ch, {})
-            node[""] = k
+                entry = node.setdefault(ch, [-1, {}])
+                node = entry[1]
+            entry[0] = k
         self.joins = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
         self.inner_space = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.pieces)
         self.raw = [b""] * len(kinds)
@@ -111,12 +112,13 @@ class StreamingViterbi:
             at += 1
             best, origin, total, still = -1, -1, 0.0, []
             for begin, node in arcs:
-                node = node.get(ch)
-                if node is None:
+                entry = node.get(ch)
+                if entry is None:
                     continue
-                still.append((begin, node))
-                k = node.get("")
-                if k is None or start[begin - base] < 0:
+                k, node = entry
+                if node:
+                    still.append((begin, node))
+                if k < 0 or start[begin - base] < 0:
                     continue
                 if bpe:
                     left = piece[begin - base]
@@ -192,12 +194,14 @@ class Codec:
         if not begin:
             return self._search(text)
         out.append(text[begin:])
-        if len(text) > 64:
-            return b"".join(map(self._search, out))
-        for p in out:
-            if p not in self.known:
-                self.known[p] = self._search(p)
-        return b"".join(map(self.known.__getitem__, out))
+        for k, p in enumerate(out):
+            ids = self.known.get(p)
+            if ids is None:
+                ids = self._search(p)
+                if len(p) <= KEPT:
+                    self.known[p] = ids
+            out[k] = ids
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
@@ -208,6 +212,8 @@ class Codec:
             return self._stretch(text)
         if len(self.known) > CACHED:
             self.known = {}
+        if len(self.m.stable) > CACHED:
+            self.m.stable.clear()
         known, parts = self.known, self._cut.findall(text)
         try:
             return b"".join(map(known.__getitem__, parts))
