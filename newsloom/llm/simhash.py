@@ -10,12 +10,13 @@ distance. Equal fingerprints are one class from the start, so copies never meet
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -164,34 +165,200 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "d
 
 
 NEAR_SHINGLE, NEAR_BITS, WORD_BITS = 5, 14, 7  # a similarity of 0.8 means ten bits of the shingles, give or take three
+SAMPLED, OFTEN, MASK_BITS, MASK_MOST = 16, 6, 22, 200_000
+RUN_ROWS, CENTRES = 8, 4
+
+
+def _similar(common: int, a: int, b: int) -> bool:
+    """A similarity (common of all distinct shingles) of 0.8 or more."""
+    return 5 * common >= 4 * (a + b - common)
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes]:
+    data, offsets = C.text_bytes(pa.Table.from_batches([batch]))
+    text = data.tobytes()
+    return (text[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+
+
+def _set_hash(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+
+
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """A bit for each ``slot``; of one size whatever the rows, so it goes with tasks where a join would move all texts."""
+    words = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits"))
+    out = np.zeros(1 << MASK_BITS - 6, np.int64)
+    for r in words.groupBy(F.shiftright("at", 8)).agg(F.collect_list(F.struct("at", "bits")).alias("w")).select(F.col("w.at").alias("at"), F.col("w.bits").alias("bits")).toLocalIterator():
+        out[r["at"]] = r["bits"]
+    return out.view(np.uint8)
+
+
+def _is_set(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def _low(column: str) -> Column:
+    return F.col(column).bitwiseAND(F.lit((1 << MASK_BITS) - 1))
+
+
+def _often(rows: DataFrame, shingle: int) -> np.ndarray:
+    """A bitmap over hash slots, set where a shingle is frequent in a sample. It only orders shingles, so a slot set or missed
+    costs time and never a link; its size is fixed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in _texts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, shingle)).view(np.int64))], ["h"])
+
+    seen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "h long")
+    return _bitmap(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n")).limit(MASK_MOST).select(_low("h").alias("slot")))
+
+
+def _prefix_rows(rows: DataFrame, often: np.ndarray, shingle: int, only: np.ndarray | None = None) -> DataFrame:
+    """(key, cls, n, pos): the first shingles of each set in one order for all, frequent ones last. Sets of n and m shingles
+    with a similarity of 0.8 share at least 0.8 n and 0.8 m, so one of the first n - ceil(0.8 n) + 1 of each. Keys outside the
+    bitmap ``only`` are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in _texts(batch):
+                own = np.unique(shingle_hashes(text, shingle))
+                n = len(own)
+                late = _is_set(often, (own & np.uint64((1 << MASK_BITS) - 1)).astype(np.int64))
+                first = own[np.argsort(late, kind="stable")][: n - (4 * n + 4) // 5 + 1] if n else own
+                pos = np.arange(len(first))
+                if only is not None:
+                    pos = pos[_is_set(only, (first & np.uint64((1 << MASK_BITS) - 1)).astype(np.int64))]
+                cls = np.full(len(pos), _set_hash(own), np.uint64).view(np.int64)
+                out.append((first[pos].view(np.int64), cls, np.full(len(pos), n, np.int32), pos.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["key", "cls", "n", "pos"])
+
+    return rows.select("text").mapInArrow(run, "key long, cls long, n int, pos int")
+
+
+def _prefix_pairs(keyed: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (a, b) of classes in the runs of one key. Runs of over ``RUN_ROWS`` classes are compared with their first rows only
+    and their key is given (b null) unless ``whole``, when rows have ``comp`` and pairs of one component are left out."""
+    columns = ("key", "comp", "cls", "n", "pos") if whole else ("key", "cls", "n", "pos")
+
+    def pairs(key: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        cls = values[-3]
+        new = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]  # equal sets are one class
+        key, (*comp, cls, n, pos) = key[new], (v[new] for v in values)
+        comp = comp[0] if comp else cls
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
+        rows = lambda runs: np.flatnonzero(np.repeat(runs, size))
+
+        def kept(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # by length, and by what can follow where this is the first shingle in common
+            most = np.minimum(n[i] - pos[i], n[j] - pos[j])
+            ok = (comp[i] != comp[j]) & (i != j) & (9 * most >= 4 * (n[i] + n[j]))
+            if ok.any():
+                a, b = cls[i[ok]], cls[j[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        live = rows(mixed if whole else mixed & (size <= RUN_ROWS))
+        if not whole and (big := mixed & (size > RUN_ROWS)).any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[start[big]]), pa.nulls(int(big.sum()), pa.int64())], ["a", "b"])
+            j, first = rows(big), np.repeat(start, size)
+            for c in range(CENTRES):
+                yield from kept(first[j] + c, j)
+        step = 1
+        while len(live):
+            live = live[live + step < len(key)]
+            live = live[key[live] == key[live + step]]
+            yield from kept(live, live + step)
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = tuple(np.zeros(0, np.int64) for _ in columns)
+        for batch in batches:
+            if batch.num_rows:
+                now = [np.concatenate([r, c.to_numpy(zero_copy_only=False)]) for r, c in zip(rest, batch.columns, strict=True)]
+                cut = int(np.searchsorted(now[0], now[0][-1]))
+                yield from pairs(*(c[:cut] for c in now))
+                rest = tuple(c[cut:] for c in now)
+        yield from pairs(*rest)
+
+    return keyed.select(*columns).repartition("key").sortWithinPartitions(*columns[:-2]).mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """The pairs of classes whose shingle sets have a similarity of 0.8 or more, by the sets themselves."""
+
+    needed = C.checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls"))
+    wanted = _bitmap(needed.select(F.pmod(F.xxhash64("rep"), F.lit(1 << MASK_BITS)).alias("slot")))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_is_set(wanted, batch.column("slot").to_numpy())))
+            own = [(_set_hash(np.unique(shingle_hashes(t, shingle))), zlib.compress(t, 6)) for t in _texts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in own], np.uint64).view(np.int64)), pa.array([z for _, z in own], pa.binary())], ["cls", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacked = lambda z: np.unique(shingle_hashes(zlib.decompress(z.as_buffer()), shingle))
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("own_a"), batch.column("own_b"), strict=True):
+                p, q = unpacked(x), unpacked(y)
+                ok.append(_similar(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    own = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << MASK_BITS)).alias("slot"), "text").mapInArrow(packed, "cls long, own binary")
+    own = own.join(needed.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    side = lambda c: own.select(F.col("cls").alias(c), F.col("own").alias(f"own_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
+
+
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes with ``comp``, the smallest id of those connected by links."""
+    found = classes.select("cls", "fw", "fs", "rep").join(connected_components(links), F.col("cls") == F.col("node"), "left").select("cls", "fw", "fs", "rep", F.coalesce("component", "cls").alias("c_"))
+    found = C.checkpoint(found)
+    return C.checkpoint(found.join(found.groupBy("c_").agg(F.min("rep").alias("comp")), "c_").drop("c_"))
 
 
 def near_copies(docs: DataFrame, shingle: int = NEAR_SHINGLE, bits: int = NEAR_BITS, word_bits: int = WORD_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row with an id: documents of about 0.8 of five-word shingles in common.
+    """(doc_id, component_id) of every row with an id: components of documents with 0.8 or more of their distinct five-word
+    shingles in common (of both documents' together), exactly.
 
-    Fingerprints of shingles drift too far apart for exact keys (about ten bits at a similarity of 0.8), so Golay keys are taken
-    from a second fingerprint, of the distinct words, where near copies lie within few bits (up to five are found for certain, most
-    of seven); both distances are verified.
-    Null and blank texts count as copies of each other.
+    Equal sets are one class. Golay keys of the distinct words' fingerprints, and exact keys (``_prefix_rows``), which miss no
+    pair of 0.8, give candidates; the long runs of a key are compared in full after the others' links are joined. Every
+    candidate is verified by its shingles. Null and blank texts count as copies of each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = C.text_bytes(pa.Table.from_batches([batch]))
-            text, both = data.tobytes(), []
-            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                both.append((fingerprint(np.unique(shingle_hashes(text[i:j], 1))), fingerprint(shingle_hashes(text[i:j], shingle))))
-            fps = np.array(both, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], ["doc_id", "fw", "fs"])
+            found = []
+            for text in _texts(batch):
+                own = shingle_hashes(text, shingle)
+                found.append((fingerprint(np.unique(shingle_hashes(text, 1))), fingerprint(own), _set_hash(np.unique(own))))
+            values = np.array(found, np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(values[:, k].copy()) for k in range(3))], ["doc_id", "fw", "fs", "cls"])
 
     rows = C.id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
-    prints = C.checkpoint(rows.mapInArrow(run, "doc_id long, fw long, fs long"))
-    classes = C.checkpoint(prints.groupBy("fw", "fs").agg(F.min("doc_id").alias("rep")))
-    keyed = _with_keys(classes, pair_keys, ("fw", "fs"))
-    links = _links(keyed.repartition("key").sortWithinPartitions("key"), {"fw": word_bits, "fs": bits})
-    components = connected_components(links)
-    labels = classes.join(components, classes["rep"] == components["node"], "left").select("fw", "fs", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(labels, ["fw", "fs"]).select("doc_id", "component_id")
+    prints = C.checkpoint(rows.mapInArrow(run, "doc_id long, fw long, fs long, cls long"))
+    classes = C.checkpoint(prints.groupBy("cls").agg(F.min("fw").alias("fw"), F.min_by("fs", "fw").alias("fs"), F.min("doc_id").alias("rep")))
+    keyed = _with_keys(classes.select("fw", "fs", F.col("cls").alias("rep")), pair_keys, ("fw", "fs"))
+    pairs = C.checkpoint(_links(keyed.repartition("key").sortWithinPartitions("key"), {"fw": word_bits, "fs": bits}).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    often = _often(rows, shingle)
+    found = C.checkpoint(_prefix_pairs(_prefix_rows(rows, often, shingle), False))
+    pairs = C.checkpoint(pairs.unionByName(found.where("b is not null")).distinct())
+    links = C.checkpoint(_verified(pairs, rows, classes, shingle))
+    classes = _joined(classes, links)
+    long_runs = found.where("b is null").select(F.col("a").alias("key"))
+    if not long_runs.isEmpty():
+        keyed = _prefix_rows(rows, often, shingle, _bitmap(long_runs.select(_low("key").alias("slot")))).join(long_runs, "key", "left_semi").join(classes.select("cls", "comp"), "cls")
+        more = C.checkpoint(_prefix_pairs(keyed, True).join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links = C.checkpoint(links.unionByName(_verified(more, rows, classes, shingle)))
+            classes = _joined(classes, links)
+    return prints.join(classes.select("cls", F.col("comp").alias("component_id")), "cls").select("doc_id", "component_id")
 
 
 def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

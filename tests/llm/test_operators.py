@@ -156,6 +156,30 @@ def test_simhash_groups_and_chains(spark):
     assert sum(near[k] == 0 for k in range(120)) >= 118 and all(near[1000 + k] == 1000 + k for k in range(30))
 
 
+def test_near_copies_are_those_of_similarity(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    texts_ = []
+    for _ in range(12):
+        base = [word() for _ in range(100)]
+        texts_ += [base, base + [word() for _ in range(23)], base + [word() for _ in range(27)], base[:81], base[:75], [word() for _ in range(4)] + base]
+        texts_ += [[*base[:50], *(word() for _ in range(k)), *base[50 + k :]] for k in (1, 3, 6, 8, 12)]
+    rows = list(enumerate([*(" ".join(t) for t in texts_), "", None, "a b", "A  b", "a b c"]))
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(len(w) - 5, 0) + 1)} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    want = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = {k: a if v == b else v for k, v in want.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {k: v[0] for k, v in by_id(simhash.near_copies(df), "component_id").items()} == want
+    monkeypatch.setattr(simhash, "RUN_ROWS", 4)
+    gone = {i for i, c in want.items() if i != c}
+    table = df.select("*", F.lit("en").alias("lang"))
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()} == set(sets) - gone
+
+
 def test_suffix_dedup(spark, docs, rows, empty):
     for window in (200, 64):
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), __import__("hashlib").sha256(r["kept"]).hexdigest()) for r in suffix_dedup.byte_repeats(docs, window).collect()}
