@@ -148,23 +148,45 @@ def _plain(spans: Column, level: Column | None = None) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), (s["level"] if level is not None else F.lit(2)).alias("level")))
 
 
+def _disjoint(spans: Column) -> Column:
+    """Overlapping spans as their union, of the first one's kind; sorted in, sorted out."""
+    last = lambda acc: F.when(acc["end"] >= 0, F.concat(acc["kept"], F.array(F.struct(*(acc[c].alias(c) for c in ("start", "kind", "end", "level")))))).otherwise(acc["kept"])
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,level:int>>")
+    start = F.struct(*(F.lit(-1).alias(c) for c in ("start", "kind", "end", "level")), none.alias("kept"))
+
+    def step(acc: Column, s: Column) -> Column:
+        joined = F.struct(acc["start"].alias("start"), acc["kind"].alias("kind"), F.greatest(acc["end"], s["end"]).alias("end"), acc["level"].alias("level"), acc["kept"].alias("kept"))
+        return F.when(s["start"] < acc["end"], joined).otherwise(F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "level")), last(acc).alias("kept")))
+
+    return F.aggregate(spans, start, step, last)
+
+
+def _gap(text: Column, spans: Column, i: Column) -> Column:
+    """The text between a span and the one before it."""
+    before = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+    return F.substring(text, before + 1, F.get(spans, i)["start"] - before)
+
+
+def _after(text: Column, spans: Column) -> Column:
+    return F.substring(text, F.get(spans, F.size(spans) - 1)["end"] + 1, F.length(text))
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced in the text: base spans by their kind, disclosing terms by
-    their initial or by a mark. Where spans overlap the first decides. A null text stays null."""
+    their initial or by a mark. Overlapping spans
+    are replaced as one, by the first one's kind. A null text stays null."""
     columns = docs.columns
     found = find_personal_data(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("terms") > 0))
     spans = F.array_sort(F.concat(_plain(F.col("base")), _plain(F.col("terms"), F.lit(1))))
     # one row for each id and text, whatever repeats
     marked = found.groupBy("doc_id", "text_hash").agg(F.first(spans).alias("all_"))
-    disjoint = F.aggregate("all_", F.struct(F.lit(0).alias("to"), F.array().cast("array<struct<start:int,kind:int,end:int,level:int>>").alias("kept")), lambda acc, s: F.struct(F.greatest(acc["to"], s["end"]).alias("to"), F.when(s["start"] >= acc["to"], F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept")), lambda acc: acc["kept"])
-    marked = C.checkpoint(marked.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), disjoint.alias("spans_")))
+    marked = C.checkpoint(marked.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), _disjoint(F.col("all_")).alias("spans_")))
     text = F.col(text_col)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     mark = lambda s: F.when(s["kind"] < 4, F.get(names, s["kind"])).when(s["level"] == 2, F.lit("[TERM]")).otherwise(F.concat(F.substring(text, s["start"] + 1, F.lit(1)), F.lit(".")))
-    before = lambda i: F.coalesce(F.get(F.col("spans_"), i - 1)["end"], F.lit(0))
-    parts = F.transform("spans_", lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), mark(s)))
-    last = F.get(F.col("spans_"), F.size("spans_") - 1)["end"]
-    clean = F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
+    found = F.col("spans_")
+    parts = F.transform(found, lambda s, i: F.concat(_gap(text, found, i), mark(s)))
+    clean = F.concat(F.array_join(parts, ""), _after(text, found))
     joined = docs.join(marked, F.col(id_col).eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("hash_")), "left")
     return joined.withColumn(text_col, F.when(F.col("spans_").isNotNull(), clean).otherwise(text)).select(*columns)
 

@@ -85,6 +85,14 @@ def test_pii_disclosing_terms(spark):
     assert "[TERM]" in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).first()["text"]
 
 
+def test_pii_overlapping_spans_leave_nothing(spark):
+    rows = [(1, "4111 1111 1111 1111.jo@x.fr"), (2, "see +49 30 1234567-jo@x.fr now"), (3, "é +49 30 1234567, 4111 1111 1111 1111, a@b.de")]
+    clean = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    assert clean[1][0] == "[CARD]" and "[PHONE]" in clean[2][0]
+    for text, in clean.values():
+        assert "@" not in text and not any(ch.isdigit() for ch in text)
+
+
 def test_decontamination(spark, docs, rows, empty):
     passage = rows[7][1].split()
     items = [(1, " ".join(passage[5:30])), (2, "One"), (3, None), (4, "!!"), (5, "two words"), (5, "two words"), (6, "words not there at all in any text of this little fixture")]
