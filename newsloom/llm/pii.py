@@ -1,10 +1,11 @@
 """Personal data: patterns, and terms whose co-occurrence with an entity gives it away. DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected entity c. A
-term t near it (five words to each side) discloses it by the share of the entity's information that the term carries,
-PMI(c; t) / IC(c), with probabilities from document counts over the whole corpus: 1 where the term never occurs without
-the entity, 0 where they are independent. Terms over a threshold are generalised to their initial, those over a higher
-one removed. Estimates from fewer than ``SUPPORT`` documents with both are not trusted, and leave the term alone.
+term t of a document that holds it (a word of three letters or more outside base spans) discloses it by the share of the
+entity's information that the term carries, PMI(c; t) / IC(c), with probabilities from document counts over the whole
+corpus: 1 where the term never occurs without the entity, 0 where they are independent. Terms over a threshold are
+generalised to their initial, those over a higher one removed, wherever they stand in a document with the entity. An
+entity of one document has its terms like any other.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone", "term")
-SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-NEAR_CHARS, NEAR_WORDS = 64, 5
+GENERALISE, REMOVE = 0.8, 0.95
 
 # Leftmost matches, in forms that neither retry inside a run nor recurse: possessive groups, and starts that are a run's
 # start or the end of the match before. Short digit chains are passed over in the pattern.
@@ -32,6 +32,7 @@ PATTERNS = {
 MAY_HOLD = {"email": "@", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_TERM = "array<struct<start:int,end:int,kind:int,level:int>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,19 +87,29 @@ def base_spans(docs: DataFrame) -> DataFrame:
 _WORD = r"\p{L}{3,}"
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms around a span with their places: whole words of three letters or more, the nearest five on each side."""
-    left_at = F.greatest(span["start"] - NEAR_CHARS, F.lit(0))
-    left = F.substring(text, left_at + 1, span["start"] - left_at)
-    right = F.substring(text, span["end"] + 1, F.lit(NEAR_CHARS))
-    # a word that the window cuts is left out
-    left_skip = F.when(left_at > 0, F.length(F.regexp_extract(left, r"^[\p{L}\p{M}\p{N}]*", 0))).otherwise(F.lit(0))
-    left = F.substring(left, left_skip + 1, F.lit(NEAR_CHARS))
-    right = F.when(F.length(right) == NEAR_CHARS, F.regexp_replace(right, r"[\p{L}\p{M}\p{N}]+$", "")).otherwise(right)
-    words = lambda part: _placed(F.split(part, _WORD, -1), F.regexp_extract_all(part, F.lit(_WORD), F.lit(0)))
-    moved = lambda found, by: F.transform(found, lambda w: F.struct((w["start"] + by).alias("start"), (w["end"] + by).alias("end"), F.lower(w["value"]).alias("term")))
-    before, after = words(left), words(right)
-    return F.concat(moved(F.slice(before, F.greatest(F.size(before) - NEAR_WORDS + 1, F.lit(1)), F.lit(NEAR_WORDS)), left_at + left_skip), moved(F.slice(after, 1, NEAR_WORDS), span["end"]))
+def _terms(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w))
+
+
+def _term_spans(text: Column, levels: Column) -> Column:
+    """(start, end, kind, level) of every word whose term is a key of ``levels``."""
+    words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, _WORD, -1), F.lit(1), F.size(words)), words, lambda p, w: F.struct(F.length(p).alias("gap"), F.length(w).alias("size"), F.get(F.map_values(levels), (F.array_position(F.map_keys(levels), F.lower(w)) - 1).cast("int")).alias("level")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(_TERM).alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x["gap"]
+        span = F.struct(at.alias("start"), (at + x["size"]).alias("end"), F.lit(4).alias("kind"), x["level"].alias("level"))
+        return F.struct((at + x["size"]).alias("at"), F.when(x["level"].isNotNull(), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with a space for each code point of the spans."""
+    found = _disjoint(_plain(spans))
+    parts = F.transform(found, lambda s, i: F.concat(_gap(text, found, i), F.repeat(F.lit(" "), s["end"] - s["start"])))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), _after(text, found))).otherwise(text)
 
 
 def _entity(span: Column) -> Column:
@@ -113,30 +124,28 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id are separate documents unless their texts are equal too, when they have equal results.
     """
     docs = C.id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    context = F.flatten(F.transform("spans", lambda s: F.transform(_near(F.col("text"), s), lambda w: F.struct(_entity(s).alias("entity"), w["term"].alias("term"), w["start"].alias("start"), w["end"].alias("end")))))
-    none = F.array().cast("array<struct<entity:bigint,term:string,start:int,end:int>>")
-    found = C.checkpoint(base_spans(docs).withColumn("context", F.when(F.size("spans") > 0, context).otherwise(none)).select("doc_id", "text_hash", F.col("spans").alias("base"), "context"))
+    found = base_spans(docs).select("doc_id", "text_hash", F.col("spans").alias("base"), _blanked(F.col("text"), F.col("spans")).alias("rest"))
+    found = C.checkpoint(found.withColumn("row", F.xxhash64("doc_id", "text_hash")))
 
-    holding = found.where(F.size("base") > 0)
+    # equal rows are one row of their number
+    holding = C.checkpoint(found.where(F.size("base") > 0).groupBy("row").agg(F.first(F.struct("base", "rest")).alias("r"), F.count("*").alias("same")).select("row", "same", F.array_distinct(F.transform("r.base", _entity)).alias("entities"), "r.rest"))
     total = found.count()
-    entities = holding.select(F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    seen = holding.select(F.explode(F.array_distinct(F.transform("context", lambda w: F.struct(w["entity"].alias("entity"), w["term"].alias("term"))))).alias("p"))
-    pairs = C.checkpoint(seen.groupBy("p.entity", "p.term").agg(F.count("*").alias("n_ct")).where(F.col("n_ct") >= SUPPORT))
-    terms = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)))).alias("term"))
-    # counted before the join, so that each task sends a term once, however many documents hold it
-    frequency = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
     n = F.lit(float(max(total, 1)))
-    information = F.log2(n / F.col("n_c"))
-    pmi = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.greatest("n_t", "n_ct")))
-    disclosing = pairs.join(frequency, "term").join(entities, "entity").where(information > 0).withColumn("share", pmi / information).where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, 2).otherwise(1).alias("level"))
-    disclosing = C.checkpoint(disclosing)
-    hits = holding.select("doc_id", "text_hash", F.inline("context")).join(disclosing, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("level").alias("level"))
-    terms_of = hits.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.lit(4).alias("kind"), "level"))).alias("terms"))
-    terms_of = C.checkpoint(terms_of).select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "terms")
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_"))
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int,level:int>>")
-    return found.join(terms_of, same, "left").select("doc_id", "text_hash", "base", F.coalesce("terms", empty).alias("terms"))
+    held = holding.select("row", "same", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.sum("same").alias("n_c")).where(F.col("n_c") < n)
+    # counted before the join, so that each task sends a term once, however many documents hold it
+    frequency = found.select(F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = holding.select("row", F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term")).join(frequency, "term")
+    # of both counts the lesser bounds n_ct, so a term that is more frequent than this has a share below the threshold
+    may = F.log2("n_t") <= GENERALISE * F.log2("n_c") + (1 - GENERALISE) * F.log2(n) + 1e-9
+    together = C.checkpoint(terms.join(held.join(entities, "entity"), "row").where(may))
+    pairs = together.groupBy("entity", "term").agg(F.sum("same").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
+    share = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log2(n / F.col("n_c"))
+    disclosing = pairs.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, 2).otherwise(1).alias("level"))
+    levels = together.select("row", "entity", "term").join(disclosing, ["entity", "term"]).groupBy("row", "term").agg(F.max("level").alias("level"))
+    levels = levels.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "level"))).alias("levels"))
+    terms_of = C.checkpoint(holding.join(levels, "row").select("row", _term_spans(F.col("rest"), F.col("levels")).alias("terms")))
+    return found.join(terms_of, "row", "left").select("doc_id", "text_hash", "base", F.coalesce("terms", F.array().cast(_TERM)).alias("terms"))
 
 
 def _written(spans: Column) -> Column:

@@ -85,6 +85,30 @@ def test_pii_disclosing_terms(spark):
     assert "[TERM]" in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).first()["text"]
 
 
+def test_pii_terms_of_rare_entities_everywhere(spark):
+    far = " ".join(["common words of every text"] * 20)
+    rows = [(k, f"{far} and more of it, number {k}") for k in range(40)]
+    rows += [(100, f"Zarkov wrote from z@firm.example. {far} Then ZARKOV left, zarkov said."), (101, f"mail two@firm.example {far} about Quillon"), (101, f"mail two@firm.example {far} about Quillon"), (102, f"{far} two@firm.example: quillon, Quillon")]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts_ = dict(rows)
+    got = {r["doc_id"]: [(texts_[r["doc_id"]][s["start"] : s["end"]], s["level"]) for s in r["terms"]] for r in found.collect()}
+    n = len(rows)
+    want = {}
+    words = {i: [w for w in __import__("re").findall(r"[A-Za-z]{3,}", __import__("re").sub(r"\S+@[a-z.]+[a-z]", " ", t))] for i, t in rows}
+    count = lambda w: sum(w in {x.lower() for x in words[i]} for i, _ in rows)
+    for i, c in ((100, {100: 1}), (101, {101: 2, 102: 1}), (102, {101: 2, 102: 1})):
+        n_c, want[i] = sum(c.values()), []
+        for w in words[i]:
+            n_ct = sum(k for d, k in c.items() if w.lower() in {x.lower() for x in words[d]})
+            share = math.log2(n_ct * n / (n_c * count(w.lower()))) / math.log2(n / n_c)
+            if share >= 0.8:
+                want[i].append((w, 2 if share >= 0.95 else 1))
+    assert {i: v for i, v in got.items() if v} == want
+    assert [w for w, _ in want[100]] == ["Zarkov", "wrote", "from", "Then", "ZARKOV", "left", "zarkov", "said"] and want[102].count(("quillon", 2)) == 1
+    clean = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")), "text")
+    assert "arkov" not in clean[100][0].lower() and "uillon" not in (clean[101][0] + clean[102][0]).lower()
+
+
 def test_pii_overlapping_spans_leave_nothing(spark):
     rows = [(1, "4111 1111 1111 1111.jo@x.fr"), (2, "see +49 30 1234567-jo@x.fr now"), (3, "é +49 30 1234567, 4111 1111 1111 1111, a@b.de")]
     clean = by_id(pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")), "text")
