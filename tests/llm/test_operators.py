@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import decontaminate, lm_scoring, pii, sentencepiece_viterbi, simhash, substring_dedup, suffix_array, suffix_dedup, token_output, topk_search, toxicity
+from newsloom.llm import decontaminate, lm_scoring, near_copies, pii, sentencepiece_viterbi, simhash, substring_dedup, suffix_array, suffix_dedup, token_output, topk_search, toxicity
 from newsloom.llm.wavelet import WaveletMatrix
 
 CLASHING = ("row", "key", "fp", "chunk", "rep", "spans", "terms_", "block", "train", "label_id", "n_chars")
@@ -163,7 +163,7 @@ def test_simhash(spark, docs, rows, empty):
 def test_golay_keys_lose_no_link():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 3000, dtype=np.uint64)
-    for keys, bits in ((simhash.golay_keys, 2), (simhash.pair_keys, 5)):
+    for keys, bits in ((simhash.golay_keys, 2),):
         b = a.copy()
         for _ in range(bits):
             b ^= np.uint64(1) << rng.integers(0, 64, len(a)).astype(np.uint64)
@@ -184,7 +184,7 @@ def test_simhash_groups_and_chains(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {k: (f"{v[0] & (2**64 - 1):016x}", v[1]) for k, v in by_id(simhash.simhash_components(df), "fp", "component_id").items()}
     assert got == simhash.brute_force(rows)
-    near = {k: v[0] for k, v in by_id(simhash.near_copies(df), "component_id").items()}
+    near = {k: v[0] for k, v in by_id(near_copies.near_copies(df), "component_id").items()}
     assert sum(near[k] == 0 for k in range(120)) >= 118 and all(near[1000 + k] == 1000 + k for k in range(30))
 
 
@@ -205,8 +205,8 @@ def test_near_copies_are_those_of_similarity(spark, monkeypatch):
                 a, b = sorted((want[i], want[j]))
                 want = {k: a if v == b else v for k, v in want.items()}
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {k: v[0] for k, v in by_id(simhash.near_copies(df), "component_id").items()} == want
-    monkeypatch.setattr(simhash, "RUN_ROWS", 4)
+    assert {k: v[0] for k, v in by_id(near_copies.near_copies(df), "component_id").items()} == want
+    monkeypatch.setattr(near_copies, "RUN_ROWS", 4)
     gone = {i for i, c in want.items() if i != c}
     table = df.select("*", F.lit("en").alias("lang"))
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()} == set(sets) - gone
