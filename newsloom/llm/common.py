@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,11 +69,23 @@ def text_bytes(table: pa.Table, name: str = "text") -> tuple[np.ndarray, np.ndar
     arr = pa.concat_arrays(col.chunks) if col.num_chunks != 1 else col.chunk(0)
     if len(arr) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if arr.type not in (pa.string(), pa.binary()):
+        arr = arr.cast(pa.binary() if pa.types.is_binary(arr.type) or pa.types.is_large_binary(arr.type) else pa.string())
     offsets = np.frombuffer(arr.buffers()[1], np.int32)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
     data = np.frombuffer(arr.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     return data, offsets - offsets[0]
 
 
+def slices_of_bytes(texts: pa.Array, most: int):
+    """Slices of a string array of about so many bytes; a longer text is one by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 def int_column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).fill_null(-(2**63)).to_numpy().astype(np.int64)
 

@@ -19,14 +19,14 @@ class WaveletMatrix:
         ids = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for k in range(width - 1, -1, -1):
-            one = (ids >> ids.dtype.type(k) & ids.dtype.type(1)).astype(bool)
+            one = (ids & ids.dtype.type(1 << k)) != 0
             packed = np.packbits(one, bitorder="little")
             padded = np.zeros(-(-len(packed) // (BLOCK // 8)) * (BLOCK // 8), np.uint8)
             padded[: len(packed)] = packed
             planes.append(packed)
             zeros.append(len(ids) - int(one.sum()))
             ranks.append(np.r_[0, np.cumsum(np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32))].astype(np.uint32))
-            ids = np.concatenate([ids[~one], ids[one]])
+            ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
         return cls(len(ids), planes, zeros, ranks)
 
     def _bits(self, k: int, i: np.ndarray) -> np.ndarray:
@@ -70,13 +70,28 @@ class WaveletMatrix:
         a, b = self._range(value, min(max(low, 0), high), high)
         return b - a
 
+    def _select(self, k: int, bit: int, i: np.ndarray) -> np.ndarray:
+        """The place of the i-th (from 0) 0 or 1 of plane k: its block by the sums before blocks, then within the block."""
+        before = self.ranks[k].astype(np.int64)
+        if not bit:
+            before = np.arange(len(before)) * BLOCK - before
+        block = np.searchsorted(before, i, "right") - 1
+        out = np.empty(len(i), np.int64)
+        plane = np.r_[self.planes[k], np.zeros(BLOCK // 8, np.uint8)]
+        for at in range(0, len(i), 4096):
+            b = block[at : at + 4096]
+            bits = np.unpackbits(plane[(b * (BLOCK // 8))[:, None] + np.arange(BLOCK // 8)], axis=1, bitorder="little") == bit
+            nth = np.cumsum(bits, axis=1, dtype=np.int16) > (i[at : at + 4096] - before[b])[:, None]
+            out[at : at + 4096] = b * BLOCK + nth.argmax(1)
+        return out
+
     def occurrences(self, value: int) -> np.ndarray:
         """All places of the value, ascending: select on each plane, from the last up."""
         a, b = self._range(value, 0, self.n)
         i = np.arange(a, b)
         for k in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
-            i = np.flatnonzero(one)[i - self.zeros[k]] if value >> (len(self.planes) - 1 - k) & 1 else np.flatnonzero(~one)[i]
+            one = value >> (len(self.planes) - 1 - k) & 1
+            i = self._select(k, one, i - self.zeros[k] if one else i)
         return i
 
     def decode(self) -> np.ndarray:
@@ -86,8 +101,8 @@ class WaveletMatrix:
         for k in range(width - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.n, bitorder="little").astype(bool)
             back = np.empty_like(ids)
-            back[~one] = ids[: self.zeros[k]]
-            back[one] = ids[self.zeros[k] :] | ids.dtype.type(1 << (width - 1 - k))
+            back[np.flatnonzero(~one)] = ids[: self.zeros[k]]
+            back[np.flatnonzero(one)] = ids[self.zeros[k] :] | ids.dtype.type(1 << (width - 1 - k))
             ids = back
         return ids.astype(np.uint32)
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -276,11 +277,43 @@ def test_token_output(spark, docs, rows, empty):
     token_output.write_tokens(docs, tokenizer, path)
     got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_output.document_places(spark, path).collect())
     assert got == token_output.brute_force(rows, tokenizer)
+    ids = {i: [*token_output.encoder(open(tokenizer, encoding="utf-8").read()).tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
+    asked = [2, 11, 220, 60_000]
+    assert {r["token"]: r["n"] for r in token_output.count_tokens(spark, path, asked).collect()} == {k: sum(x.count(k) for x in ids.values()) for k in asked}
+    places = sorted((r["token"], r["doc_id"], r["place"]) for r in token_output.token_occurrences(spark, path, asked).collect())
+    assert places == sorted((k, i, n) for k in asked for i, x in ids.items() for n, y in enumerate(x) if y == k)
     path = C.new_path(spark, "tokens")
     token_output.write_tokens(empty, tokenizer, path)
     assert token_output.document_places(spark, path).count() == 0
 
 
+def test_byte_level_encoder_equals_the_library(monkeypatch):
+    import json
+
+    import public_tokenizers
+
+    spec = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    rng = random.Random(3)
+    bits = ["the", "don't", "I'LL", "é", "naïve", "中文字", "١٢", "²½", "Ⅷ", "e\u0301", "\x1c", "\x85", "\u00a0", "\u200b", "a_b", "x" * 90, "'s", "12ab", "--", "…", "\n", "\t", "\r\n", "\u2028", "Ġ", "👩‍👩‍👧", "<|endoftext|>", "ß", "\x00", "़", "a\u3000b", "\ufeff"]
+    texts_ = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", " ", "  ", "\n", ","]) for _ in range(rng.randint(1, 30))) for _ in range(3000)] + [b + " " + c + " z" for b in bits for c in bits]
+    e = token_output.ByteLevelEncoder(spec)
+    texts_ += ["", " ", "a", " a", "a "]
+    want = [[*x.ids, 2] for x in e.tokenizer.encode_batch(texts_, add_special_tokens=False)]
+
+    def ids(encoder, some):
+        flat, sizes = encoder.encode(pa.array(some, pa.string()), 2)
+        return [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+    assert e.known_kind and ids(e, texts_) == want
+    monkeypatch.setattr(token_output, "KEPT_CHARACTERS", 200)
+    e = token_output.ByteLevelEncoder(spec)
+    assert [x for k in range(0, len(texts_), 50) for x in ids(e, texts_[k : k + 50])] == want
+    other = json.loads(spec)
+    other["pre_tokenizer"]["add_prefix_space"] = True
+    e = token_output.ByteLevelEncoder(json.dumps(other))
+    assert not e.known_kind and ids(e, ["a b", " c"]) == [[*e.tokenizer.encode(t).ids, 2] for t in ("a b", " c")]
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(0).integers(0, 50_000, 3000).astype(np.uint32)
     ids[::7] = 2
