@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SCALE, TOP, QUERY_EVERY = 64, 20, 20
-BLOCK_ROWS, LANE_BLOCKS = 8192, 8
+BLOCK_ROWS, LANE_BLOCKS, BLOCK_BYTES = 8192, 8, 8_000_000  # of a block, in components of eight bytes
 QUERY_ROWS, LEAST_QUERY_ROWS, QUERY_TASKS = 16_384, 512, 12
 COORDINATE_COSINE, COORDINATES = 0.9, 3
 _SLACK = 1e-9
@@ -58,14 +58,15 @@ def _packed(blocks: DataFrame) -> DataFrame:
         length = table.column("length").to_numpy()
         order = np.lexsort((table.column("row").to_numpy(), -length))
         m, dims = _matrix(table.column("v"))
-        return pa.Table.from_pylist([{"block": table.column("block")[0].as_py(), "longest": float(length.max()), "n": len(order), "dims": dims, "rows": table.column("row").to_numpy()[order].tobytes(), "ids": table.column("vec_id").to_numpy()[order].tobytes(), "vectors": m[order].tobytes()}], _BLOCK_T)
+        return pa.Table.from_pylist([{"block": table.column("block")[0].as_py(), "longest": float(length.max()), "n": len(order), "dims": dims, "rows": table.column("row").to_numpy()[order].tobytes(), "ids": table.column("vec_id").to_numpy()[order].tobytes(), "vectors": m[order].astype(np.int32 if np.abs(m).max(initial=0) < 2**31 else np.int64).tobytes()}], _BLOCK_T)
 
     return blocks.groupBy("block").applyInArrow(run, _BLOCK)
 
 
 def _unpacked(record: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     rows, ids = np.frombuffer(record["rows"], np.int64), np.frombuffer(record["ids"], np.int64)
-    v = np.frombuffer(record["vectors"], np.int64).reshape(record["n"], record["dims"])
+    narrow = len(record["vectors"]) < 8 * record["n"] * record["dims"]
+    v = np.frombuffer(record["vectors"], np.int32 if narrow else np.int64).reshape(record["n"], record["dims"]).astype(np.int64)
     return rows, ids, v, np.sqrt((v.astype(np.float64) ** 2).sum(1))
 
 
@@ -129,14 +130,16 @@ class Searcher:
         strong = np.argsort(-np.abs(x), kind="stable")[:COORDINATES]
         ranges = []
         for f in strong.tolist():
-            # a unit vector within the threshold of x has its component f here
+            # a unit vector within the threshold of x has its component f here; the axis itself is within it where x is close to the axis
             middle, wide = x[f] * cosine, float(np.sqrt(max(0.0, (1 - x[f] ** 2) * (1 - cosine**2))))
-            ranges.append((np.searchsorted(columns[:, f], middle - wide - 1e-7), np.searchsorted(columns[:, f], middle + wide + 1e-7, "right"), f, middle, wide))
+            least, most = -1.0 if x[f] <= -cosine else middle - wide, 1.0 if x[f] >= cosine else middle + wide
+            least, most = least - 1e-7, most + 1e-7
+            ranges.append((np.searchsorted(columns[:, f], least), np.searchsorted(columns[:, f], most, "right"), f, least, most))
         low, high, f, _, _ = min(ranges, key=lambda r: r[1] - r[0])
         at = order[low:high, f]
-        for _, _, g, middle, wide in ranges:
+        for _, _, g, least, most in ranges:
             if g != f:
-                at = at[np.abs(unit[at, g] - middle) <= wide + 1e-7]
+                at = at[(unit[at, g] >= least) & (unit[at, g] <= most)]
         at = at[rows[at] != self.rows[q]]
         s = self._products(self.v[q : q + 1], v[at])[0]
         keep = s >= self.floor[q]
@@ -163,18 +166,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec
     bucket = F.when(F.col("length") > 0, F.floor(F.log2("length") * 8).cast("int")).otherwise(F.lit(-1))
     base = base.withColumn("bucket", bucket)
     # at most some thousand lengths exist, as a bucket spans a fixed ratio of a double
-    sizes = {r["bucket"]: r["n"] for r in base.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    counted = base.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).collect()
+    sizes = {r["bucket"]: r["n"] for r in counted}
+    in_bytes = max(1, BLOCK_BYTES // (8 * max([1, *(r["dims"] for r in counted)])))
+    block_rows, query_rows = min(BLOCK_ROWS, in_bytes), min(QUERY_ROWS, 2 * in_bytes)
     n_queries = base.where(is_query).count()
     if not n_queries:
         return vectors.sparkSession.createDataFrame([], _HIT + ", rank int")
     first, parts, n_blocks = {}, {}, 0
     for b in sorted(sizes, reverse=True):
-        first[b], parts[b] = n_blocks, -(-sizes[b] // BLOCK_ROWS)
+        first[b], parts[b] = n_blocks, -(-sizes[b] // block_rows)
         n_blocks += parts[b]
     places = base.sparkSession.createDataFrame([(b, first[b], parts[b]) for b in sizes], "bucket int, first int, parts int")
     salted = base.join(F.broadcast(places), "bucket").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int"))
     blocks = C.checkpoint(_packed(salted.select("block", "row", "vec_id", "v", "length")))
-    n_query_blocks = -(-n_queries // min(QUERY_ROWS, max(LEAST_QUERY_ROWS, n_queries // QUERY_TASKS)))
+    n_query_blocks = -(-n_queries // min(query_rows, max(LEAST_QUERY_ROWS, n_queries // QUERY_TASKS)))
     queries = base.where(is_query).withColumn("block", F.pmod(F.xxhash64("row"), F.lit(n_query_blocks)).cast("int"))
     asked = C.checkpoint(_packed(queries.select("block", "row", "vec_id", "v", "length")))
     lane = F.floor(F.col("block") / LANE_BLOCKS).cast("int")
@@ -191,17 +197,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, id_col: str = "vec
             s.meet(*_unpacked(record))
         return s.hits()
 
-    def lanes(some: DataFrame, asked: DataFrame, low: int, high: int) -> DataFrame:
-        dealt = some.withColumn("lane", lane).withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-        asked = asked.withColumnRenamed("block", "asker").withColumn("lane", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    def lanes(some: DataFrame, asked: DataFrame, least: DataFrame | None = None) -> DataFrame:
+        """Every candidate block to the query blocks that it may have something for, by length alone."""
+        pairs = some.select("block", "longest", lane.alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("asker"))
+        if least is not None:
+            pairs = pairs.join(least, "asker").where(F.col("longest") * (1 + _SLACK) >= F.col("least"))
+        pairs = C.checkpoint(pairs.select("block", "lane", "asker"))
+        dealt = some.join(pairs, "block")
+        asked = asked.withColumnRenamed("block", "asker").join(pairs.select("asker", "lane").distinct(), "asker")
         return asked.groupBy("asker", "lane").cogroup(dealt.groupBy("asker", "lane")).applyInArrow(search, _HIT)
 
-    hits = C.checkpoint(_best(lanes(blocks.where(lane == 0), asked, 0, 0), k))
+    hits = C.checkpoint(_best(lanes(blocks.where(lane == 0), asked), k))
     if n_blocks > LANE_BLOCKS:
         floors = hits.where(F.col("rank") == k).select("row", F.col("score").alias("floor"))
         of = queries.select(F.col("block").alias("of"), "row").join(floors, "row").groupBy("of").agg(F.collect_list(F.struct("row", "floor")).alias("floors"))
         primed = asked.join(of, asked["block"] == of["of"], "left").drop("of")
-        hits = _best(lanes(blocks.where(lane > 0), primed, 1, (n_blocks - 1) // LANE_BLOCKS).unionByName(hits.drop("rank")), k)
+        # a candidate must be as long as the least floor of a block's queries asks for; without a floor anything may serve
+        needs = F.when((F.col("length") > 0) & F.col("floor").isNotNull(), F.col("floor") / F.col("length")).otherwise(F.lit(float("-inf")))
+        least = queries.join(floors, "row", "left").groupBy(F.col("block").alias("asker")).agg(F.min(needs).alias("least"))
+        hits = _best(lanes(blocks.where(lane > 0), primed, least).unionByName(hits.drop("rank")), k)
     return hits.select("row", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -155,6 +155,38 @@ def test_topk_many_blocks(spark, monkeypatch):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == topk_search.brute_force(rows)
 
 
+def test_topk_searcher_bounds_are_sound():
+    rng = np.random.default_rng(12)
+    for trial in range(60):
+        d, n = int(rng.integers(2, 13)), 240
+        v = np.floor(64 * rng.normal(size=(n, d)) * rng.choice([0.3, 1, 4], size=(n, 1))).astype(np.int64)
+        v[::3, 1:] = np.floor(rng.normal(size=v[::3, 1:].shape) * 3)  # close to an axis
+        v[1::5] *= rng.random(v[1::5].shape) < 0.3  # sparse
+        if trial == 0:
+            axis = np.r_[np.full(30, 900), np.full(30, 970)]
+            v = np.stack([axis * np.cos(np.r_[np.full(30, 0.35), np.zeros(30)]), axis * np.sin(np.r_[np.full(30, 0.35), np.zeros(30)]), np.zeros(60)], 1).astype(np.int64)
+            v, n = np.r_[[[900, 0, 0]], v], 61
+        length = np.sqrt((v.astype(float) ** 2).sum(1))
+        s = topk_search.Searcher(np.arange(n), np.arange(n), v, length, 20)
+        for block in np.array_split(np.argsort(-length, kind="stable"), 8):
+            s.meet(block, block, v[block], length[block])
+        score = v @ v.T
+        got = {}
+        for r in s.hits().to_pylist():
+            got.setdefault(r["row"], []).append((-r["score"], r["vec_id"]))
+        for q in range(n):
+            assert sorted(got[q])[:20] == sorted((-int(score[q, j]), j) for j in range(n) if j != q)[:20], (trial, q)
+
+
+def test_topk_wide_vectors_and_pruned_lanes(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 8 * 300 * 12)
+    monkeypatch.setattr(topk_search, "LANE_BLOCKS", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=300) * rng.choice([0.01, 1, 30, 2.0**18])).tolist()) for i in range(120)]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == topk_search.brute_force(rows)
+
+
 def test_simhash(spark, docs, rows, empty):
     got = {k: (f"{v[0] & (2**64 - 1):016x}", v[1]) for k, v in by_id(simhash.simhash_components(docs), "fp", "component_id").items()}
     assert got == simhash.brute_force(rows)
