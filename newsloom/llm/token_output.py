@@ -27,7 +27,7 @@ from . import common as C
 from .wavelet import WaveletMatrix
 
 SHARD_BYTES, END_ID, BATCH_BYTES = 8_000_000, 2, 8_000_000
-KEPT_CHARACTERS = 9_000_000  # of the words that are remembered
+KEPT_CHARACTERS = 6_000_000  # of the words that are remembered
 ROW, ROWS = 128, 16  # pieces in a row, rows asked for at once
 # the cut of a byte-level tokenizer; a fixed part of that tokenizer's definition
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
