@@ -14,6 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +58,8 @@ def chunk_count(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> int:
 
 
 def with_chunks(docs: DataFrame, n: int) -> DataFrame:
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    # by the text too, so that rows of one id or of none are spread
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
 # -- inside tasks ---------------------------------------------------------------------------------------------------
@@ -162,12 +164,19 @@ def byte_rolling(data: np.ndarray) -> Rolling:
     return Rolling(_BYTE[data], _P)
 
 
+LONG_WORD = 48  # bytes; sums of powers have equal values for some strings of a thousand bytes, so longer words are hashed whole
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return byte_rolling(data)(starts, ends)
+    out = byte_rolling(data)(starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+    return out
 
 
-def word_rolling(hashes: np.ndarray) -> Rolling:
-    return Rolling(hashes, _Q)
+def word_rolling(hashes: np.ndarray, second: bool = False) -> Rolling:
+    """For slices of few words; ``second`` gives other hashes of the same slices."""
+    return Rolling(mix(hashes ^ _U(_P)), _P) if second else Rolling(hashes, _Q)
 
 
 def sliding_min(a: np.ndarray, width: int) -> np.ndarray:

@@ -2,11 +2,14 @@
 
 Seeds are winnowed anchors: of the 9 five-word grams inside each window of 13 words, the one of the smallest hash.
 Equal windows have equal anchors, so a join of documents on anchors loses no match. Anchors that occur in one
-document only are dropped; around the others every window that holds the anchor is compared, which extends a
-seed word by word to both sides, and adjoining matches merge into maximal repeats of at least 13 words.
-
-Documents are cut into chunks. Both joins send sorted 64-bit hashes per (chunk, hash range) and get back one bit for
-each, so a passage shared by a third of all documents is one entry per chunk, not one per document.
+document only are dropped. The others are extended: the stretch of words around an anchor, whose windows all have it,
+meets all stretches of the same seed, and those are split word by word to both sides into classes that agree so far. Windows
+that agree in all 13 words are one class at the end, whose smallest document id decides; adjoining matches merge into maximal repeats.
+
+Documents are cut into chunks. The join on anchors sends sorted hashes per (chunk, hash range) and gets back one bit for
+each; the extension sends each distinct stretch of a chunk once, so a passage shared by a third of all documents is one entry per
+chunk, not one per document. A stretch travels under a longer seed than its anchor (nine or ten of its words), so a frequent
+anchor in many surroundings is many small groups.
 """
 
 from __future__ import annotations
@@ -30,11 +33,92 @@ class _Windows:
         self.ids = C.int_column(table, "doc_id")
         self.starts, self.ends, self.doc = C.word_bounds(self.data, self.offsets)
         n = max(len(self.starts) - window + 1, 0)
-        roll = C.word_rolling(C.word_hashes(self.data, self.starts, self.ends))
+        self.words = C.word_hashes(self.data, self.starts, self.ends)
+        self.roll = C.word_rolling(self.words)
         inside = self.doc[:n] == self.doc[window - 1 :] if n else np.zeros(0, bool)
         self.at = np.flatnonzero(inside)
-        self.anchor = C.sliding_min(roll.grams(gram), window - gram + 1)[:n][self.at]
-        self.roll = roll
+        grams = self.roll.grams(gram)
+        least = C.sliding_min(grams, window - gram + 1)[:n][self.at]
+        self.place = np.full(len(self.at), -1)  # of the anchor, the first of its value
+        for k in range(window - gram, -1, -1):
+            hit = grams[self.at + k] == least
+            self.place[hit] = self.at[hit] + k
+        # the smallest hashes crowd at the low end of their range: mixed once more, they spread over all buckets
+        self.anchor = C.mix(least)
+
+
+class _Stretches:
+    """Stretches of windows with one anchor, on one side of its middle, and the distinct ones among them."""
+
+    def __init__(self, w: _Windows, mask: np.ndarray, window: int, gram: int):
+        self.at = w.at[mask]
+        before = w.place[mask] - self.at  # words of the window before its anchor
+        self.half = (window - gram + 1) // 2
+        late = before > self.half
+        new = np.r_[True, (np.diff(w.place[mask]) != 0) | (np.diff(self.at) != 1) | (late[1:] != late[:-1])] if len(self.at) else np.zeros(0, bool)
+        lead = np.flatnonzero(new)
+        self.n = np.diff(np.r_[lead, len(self.at)])
+        start, left = self.at[lead], before[lead]
+        right = window - gram - before[lead + self.n - 1] if len(lead) else left
+        end = start + self.n + window - 1
+        ids = w.ids[w.doc[start]]
+        second = C.word_rolling(w.words, True)
+        h, g = w.roll(start, end), second(start, end)
+        order = np.lexsort((ids, left, g, h))
+        same = [x[order] for x in (h, g, left)]
+        first = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in same])]) if len(lead) else np.zeros(0, np.int64)
+        of = np.zeros(len(lead), np.int64)
+        of[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(lead)]))
+        pick = order[first]  # of each distinct stretch, the row of smallest id
+        place = start[pick] + left[pick]
+        low, high = np.where(late[lead][pick], place - self.half - 1, place), np.where(late[lead][pick], place + gram, place + gram + self.half)
+        seed = C.mix(w.roll(low, high) + late[lead][pick])
+        order = np.argsort(seed, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.of = rank[of]
+        pick = pick[order]
+        self.seed, self.ids, self.left, self.right, self.start, self.end, self.windows, self.late = seed[order], ids[pick], left[pick], right[pick], start[pick], end[pick], self.n[pick], late[lead][pick]
+
+
+def _split(classes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Classes that agree in one more word."""
+    order = np.lexsort((words, classes))
+    c, w = classes[order], words[order]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.r_[True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) - 1 if len(order) else 0
+    return out
+
+
+def _earlier(seed: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, late: np.ndarray, words: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For each window of each stretch, in order: whether a stretch of smaller id has it, by extending the seeds."""
+    reach, half = window - gram, (window - gram + 1) // 2
+    size = left + gram + right
+    table = np.zeros((len(seed), 2 * reach + gram), np.uint64)  # column ``reach`` is the anchor's first word
+    row = np.repeat(np.arange(len(seed)), size)
+    table[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + (reach - left)[row]] = words
+    found = np.zeros((len(seed), reach + 1), bool)  # by the number of words before the anchor
+    for side in (False, True):
+        at = np.flatnonzero(late == side)
+        low, high = (reach - half - 1, reach + gram - 1) if side else (reach, reach + gram + half - 1)
+        base = np.unique(seed[at], return_inverse=True)[1]
+        for k in range(low, high + 1):
+            base = _split(base, table[at, k])
+        to_left, to_right = {low: base}, {high: base}
+        for k in range(low - 1, -1, -1):
+            to_left[k] = _split(to_left[k + 1], table[at, k])
+        for k in range(high + 1, table.shape[1]):
+            to_right[k] = _split(to_right[k - 1], table[at, k])
+        for before in range(half + 1, reach + 1) if side else range(half + 1):
+            has = np.flatnonzero((left[at] >= before) & (right[at] >= reach - before))
+            a, b = to_left[min(low, reach - before)][has], to_right[max(high, reach - before + window - 1)][has]
+            which = np.unique(a * (len(at) + 1) + b, return_inverse=True)[1]
+            least = np.full(len(has) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, which, ids[at[has]])
+            found[at[has], before] = least[which] < ids[at[has]]
+    before = np.arange(reach, -1, -1)
+    valid = (left[:, None] >= before) & (right[:, None] >= reach - before) & ((before > half) == late[:, None])
+    return found[:, ::-1][valid]
 
 
 def _bits(answers: pa.Table, counts: dict[int, int]) -> dict[int, np.ndarray]:
@@ -52,6 +136,8 @@ def _spread(values: np.ndarray, of: np.ndarray, buckets: int, answers: pa.Table)
 
 
 _SENT = "bucket int, chunk int, payload binary, extra binary"
+_WORDS = "bucket int, chunk int, seeds binary, ids binary, shape binary, words binary"
+_WORDS_T = {"bucket": pa.int32(), "chunk": pa.int32(), "seeds": pa.binary(), "ids": pa.binary(), "shape": pa.binary(), "words": pa.binary()}
 _BACK = "chunk int, bucket int, payload binary"
 
 
@@ -80,23 +166,13 @@ def _anchor_values(w: _Windows) -> tuple[np.ndarray, np.ndarray]:
     return a[lead], several
 
 
-def _window_values(w: _Windows, mask: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the windows around repeated anchors: their place, hash, and the distinct hashes with the smallest id of each."""
-    at = w.at[mask]
-    h = w.roll(at, at + window)
-    ids = w.ids[w.doc[at]]
-    order = np.lexsort((ids, h))
-    hs = h[order]
-    lead = np.flatnonzero(np.r_[True, hs[1:] != hs[:-1]]) if len(hs) else np.zeros(0, np.int64)
-    return at, h, hs[lead], ids[order][lead]
-
-
 def substring_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Maximal repeats of at least ``window`` words that also occur in a document of smaller id, and what is left.
 
     Returns per input row: doc_id, n_words, n_removed, spans (array of first and end word of each maximal repeat),
     kept (the remaining words joined by single spaces). A null text has no words. Rows of equal id are one document for the rule
-    "smaller id" (they do not remove each other) but keep a row each; a null id counts as the smallest.
+    "smaller id" (they do not remove each other) but keep a row each; a null id counts as the smallest. Words are compared by
+    64-bit hashes, each at its place beside an equal seed.
     """
     docs = C.id_text(docs, id_col, text_col)
     n = C.chunk_count(docs)
@@ -117,21 +193,26 @@ def substring_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
         return _rows(_BACK_T, [(c, b, np.packbits(f).tobytes()) for c, b, f in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), np.split(flags, ends[:-1]), strict=True)])
 
     def around(key, table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The stretches around repeated anchors, by seed."""
         if not table.num_rows:
-            return _rows(_SENT_T, [])
+            return _rows(_WORDS_T, [])
         w = _Windows(table, window, gram)
-        _, _, h, ids = _window_values(w, _spread(_anchor_values(w)[0], w.anchor, buckets, answers), window)
-        return _rows(_SENT_T, [(b, key[0].as_py(), C.pack(h[i:j]), C.pack(ids[i:j])) for b, i, j in C.parts(C.bucket_of(h, buckets))])
+        x, out = _Stretches(w, _spread(_anchor_values(w)[0], w.anchor, buckets, answers), window, gram), []
+        for b, i, j in C.parts(C.bucket_of(x.seed, buckets)):
+            size = x.end[i:j] - x.start[i:j]
+            at = np.repeat(x.start[i:j] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            shape = np.stack([x.left[i:j], x.right[i:j], x.late[i:j]]).astype(np.uint8)
+            out.append((b, key[0].as_py(), C.pack(x.seed[i:j]), C.pack(x.ids[i:j]), shape.tobytes(), C.pack(w.words[at])))
+        return _rows(_WORDS_T, out)
 
     def earlier(table: pa.Table) -> pa.Table:
-        """Whether another chunk has a smaller id for the window."""
-        got = [C.unpack(x, np.uint64) for x in table.column("payload").to_pylist()]
-        ids = np.concatenate([C.unpack(x, np.int64) for x in table.column("extra").to_pylist()])
-        values, inverse = np.unique(np.concatenate(got), return_inverse=True)
-        least = np.full(len(values), np.iinfo(np.int64).max)
-        np.minimum.at(least, inverse, ids)
-        flags = least[inverse] < ids
-        ends = np.cumsum([len(g) for g in got])
+        """Whether a smaller id has the window, for each window of each stretch."""
+        seeds = [C.unpack(x, np.uint64) for x in table.column("seeds").to_pylist()]
+        shape = np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in table.column("shape").to_pylist()], axis=1).astype(np.int64)
+        ids, words = (np.concatenate([C.unpack(x, t) for x in table.column(c).to_pylist()]) for c, t in (("ids", np.int64), ("words", np.uint64)))
+        flags = _earlier(np.concatenate(seeds), ids, shape[0], shape[1], shape[2] > 0, words, window, gram)
+        n_windows = shape[0] + shape[1] - (window - gram) + 1
+        ends = np.cumsum(n_windows)[np.cumsum([len(x) for x in seeds]) - 1]
         return _rows(_BACK_T, [(c, b, np.packbits(f).tobytes()) for c, b, f in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), np.split(flags, ends[:-1]), strict=True)])
 
     def cut(key, table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -141,10 +222,16 @@ def substring_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
         w = _Windows(table, window, gram)
         kind = np.array(answers.column("kind").to_pylist(), bool)
         mask = _spread(_anchor_values(w)[0], w.anchor, buckets, answers.filter(pa.array(~kind)))
-        at, h, values, least = _window_values(w, mask, window)
-        dup = _spread(values, h, buckets, answers.filter(pa.array(kind)))
+        x = _Stretches(w, mask, window, gram)
+        cuts = C.parts(C.bucket_of(x.seed, buckets))
+        got = _bits(answers.filter(pa.array(kind)), {b: int(x.windows[i:j].sum()) for b, i, j in cuts})
+        flags = np.concatenate([np.zeros(0, bool), *(got[b] for b, _, _ in cuts)])
+        begin = np.cumsum(x.windows) - x.windows
+        within = np.arange(len(x.at)) - np.repeat(np.cumsum(x.n) - x.n, x.n)
+        of = np.repeat(x.of, x.n)
+        at, dup = x.at, flags[begin[of] + within] if len(x.at) else np.zeros(0, bool)
         if len(at):
-            dup |= least[np.searchsorted(values, h)] < w.ids[w.doc[at]]
+            dup = dup | (x.ids[of] < w.ids[w.doc[at]])
         edge = np.zeros(len(w.starts) + 1, np.int64)
         np.add.at(edge, at[dup], 1)
         np.add.at(edge, at[dup] + window, -1)
@@ -164,7 +251,7 @@ def substring_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
 
     groups = chunks.groupBy("chunk")
     marks = groups.applyInArrow(seeds, _SENT).groupBy("bucket").applyInArrow(repeated, _BACK)
-    windows = groups.cogroup(marks.groupBy("chunk")).applyInArrow(around, _SENT).groupBy("bucket").applyInArrow(earlier, _BACK)
+    windows = groups.cogroup(marks.groupBy("chunk")).applyInArrow(around, _WORDS).groupBy("bucket").applyInArrow(earlier, _BACK)
     answers = marks.withColumn("kind", F.lit(0)).unionByName(windows.withColumn("kind", F.lit(1)))
     return groups.cogroup(answers.groupBy("chunk")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<array<long>>, kept string")
 

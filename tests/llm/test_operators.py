@@ -299,6 +299,24 @@ def test_substring_dedup(spark, docs, rows, empty):
     assert substring_dedup.substring_repeats(empty).count() == 0
 
 
+def test_substring_dedup_of_hard_cases(spark):
+    thue = "a"
+    for _ in range(11):
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))  # equal to the first in any sum of powers of an odd base modulo 2**64
+    rng = random.Random(6)
+    tail = " ".join(f"w{rng.random()}" for _ in range(12))
+    rows = [(1, f"{thue} {tail}"), (2, f"{other} {tail}"), (3, f"{thue} {tail}")]
+    few = ["a", "b", "c"]  # few words: many anchors, many surroundings
+    rows += [(10 + k, " ".join(rng.choice(few) for _ in range(rng.randint(1, 400)))) for k in range(40)]
+    big = [f"x{rng.randint(0, 200_000)}" for _ in range(200_000)]  # over a megabyte
+    rows += [(100, " ".join(big)), (99, " ".join(big[1000:1030] + ["."] + big[-14:])), (101, " ".join(big[77_000:77_012])), (None, " ".join(big[5:20])), (102, " ".join(big[:40])), (102, " ".join(big[:40]))]
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"], __import__("hashlib").sha256(r["kept"].encode()).hexdigest()) for r in substring_dedup.substring_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = substring_dedup.brute_force([(i if i is not None else -1, t) for i, t in rows])
+    assert got == sorted([*((i, *v) for i, v in want.items()), (102, *want[102])])
+    assert want[2][1] == 0 and want[3][1] == 13
+
+
 def test_token_output(spark, docs, rows, empty):
     import public_tokenizers
 
