@@ -51,24 +51,41 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+BLOCK = 256
+
+
+def _running(values: Column, start: int, step) -> Column:
+    """Of an array of integers: step(... step(step(start, first), second) ...) up to each place, itself included. Arrays are
+    built in blocks, as each appending copies what is there already."""
+    no_ints = F.array().cast("array<int>")
+
+    def over(some: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), no_ints.alias("out"))
+        return F.aggregate(some, zero, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(step(acc["at"], x))).alias("out")), lambda acc: acc["out"])
+
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        ends = lambda b: over(F.transform(b, lambda x: F.aggregate(x, F.lit(start), step)), F.lit(start))
+        run = lambda b: _let(ends(b), lambda e: F.flatten(F.transform(b, lambda x, k: over(x, F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(start))))))
+        return F.when(F.size(v) > 0, _let(blocks, run)).otherwise(no_ints)
+
+    return _let(values, whole)
+
+
 def _placed(pieces: Column, found: Column) -> Column:
     """Matches with their places in code points, from the texts between them."""
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-    return F.aggregate(
-        pairs,
-        start,
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    ends = _running(F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.length(p) + F.length(m)), 0, lambda a, x: a + x)
+    return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
 
 
 def _kept(k: int, kind: str) -> Column:
     valid = F.filter(_placed(F.col(f"p{k}"), F.col(f"f{k}")), lambda s: _valid(kind, s["value"]))
-    return F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"), s["value"].alias("value")))
+    return F.transform(valid, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("kind"), s["end"].alias("end"), s["value"].alias("value")))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -80,7 +97,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         docs = docs.withColumn(f"p{k}", F.when(F.size(f"f{k}") > 0, F.split("text", pattern, -1)).otherwise(none))
     for k, kind in enumerate(PATTERNS):
         docs = docs.withColumn(f"s{k}", _kept(k, kind))
-    spans = F.array_sort(F.concat(*(f"s{k}" for k in range(4))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    spans = F.transform(F.array_sort(F.concat(*(f"s{k}" for k in range(4)))), lambda s: F.struct(*(s[c].alias(c) for c in ("start", "end", "kind", "value"))))
     return docs.withColumn("spans", spans).drop(*(f"{x}{k}" for x in "fps" for k in range(4)))
 
 
@@ -91,25 +108,10 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w))
 
 
-def _term_spans(text: Column, levels: Column) -> Column:
-    """(start, end, kind, level) of every word whose term is a key of ``levels``."""
+def _word_places(text: Column) -> Column:
+    """(start, end, term) of every word."""
     words = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, _WORD, -1), F.lit(1), F.size(words)), words, lambda p, w: F.struct(F.length(p).alias("gap"), F.length(w).alias("size"), F.get(F.map_values(levels), (F.array_position(F.map_keys(levels), F.lower(w)) - 1).cast("int")).alias("level")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_TERM).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        span = F.struct(at.alias("start"), (at + x["size"]).alias("end"), F.lit(4).alias("kind"), x["level"].alias("level"))
-        return F.struct((at + x["size"]).alias("at"), F.when(x["level"].isNotNull(), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-
-
-def _blanked(text: Column, spans: Column) -> Column:
-    """The text with a space for each code point of the spans."""
-    found = _disjoint(_plain(spans))
-    parts = F.transform(found, lambda s, i: F.concat(_gap(text, found, i), F.repeat(F.lit(" "), s["end"] - s["start"])))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), _after(text, found))).otherwise(text)
+    return _let(_let(words, lambda w: _placed(F.split(text, _WORD, -1), w)), lambda ws: F.transform(ws, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("term"))))
 
 
 def _entity(span: Column) -> Column:
@@ -124,7 +126,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id are separate documents unless their texts are equal too, when they have equal results.
     """
     docs = C.id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    found = base_spans(docs).select("doc_id", "text_hash", F.col("spans").alias("base"), _blanked(F.col("text"), F.col("spans")).alias("rest"))
+    found = base_spans(docs).select("doc_id", "text_hash", F.col("spans").alias("base"), _replaced(F.col("text"), _disjoint(_plain(F.col("spans"))), lambda s, _: F.repeat(F.lit(" "), s["end"] - s["start"])).alias("rest"))
     found = C.checkpoint(found.withColumn("row", F.xxhash64("doc_id", "text_hash")))
 
     # equal rows are one row of their number
@@ -143,8 +145,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     share = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log2(n / F.col("n_c"))
     disclosing = pairs.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, 2).otherwise(1).alias("level"))
     levels = together.select("row", "entity", "term").join(disclosing, ["entity", "term"]).groupBy("row", "term").agg(F.max("level").alias("level"))
-    levels = levels.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "level"))).alias("levels"))
-    terms_of = C.checkpoint(holding.join(levels, "row").select("row", _term_spans(F.col("rest"), F.col("levels")).alias("terms")))
+    levels = C.checkpoint(levels)
+    places = holding.select("row", "rest").join(levels.select("row").distinct(), "row", "left_semi").select("row", F.inline(_word_places(F.col("rest"))))
+    term = F.struct("start", "end", F.lit(4).alias("kind"), "level")
+    terms_of = C.checkpoint(places.join(levels, ["row", "term"]).groupBy("row").agg(F.array_sort(F.collect_list(term)).alias("terms")))
     return found.join(terms_of, "row", "left").select("doc_id", "text_hash", "base", F.coalesce("terms", F.array().cast(_TERM)).alias("terms"))
 
 
@@ -159,45 +163,65 @@ def _plain(spans: Column, level: Column | None = None) -> Column:
 
 def _disjoint(spans: Column) -> Column:
     """Overlapping spans as their union, of the first one's kind; sorted in, sorted out."""
-    last = lambda acc: F.when(acc["end"] >= 0, F.concat(acc["kept"], F.array(F.struct(*(acc[c].alias(c) for c in ("start", "kind", "end", "level")))))).otherwise(acc["kept"])
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,level:int>>")
-    start = F.struct(*(F.lit(-1).alias(c) for c in ("start", "kind", "end", "level")), none.alias("kept"))
 
-    def step(acc: Column, s: Column) -> Column:
-        joined = F.struct(acc["start"].alias("start"), acc["kind"].alias("kind"), F.greatest(acc["end"], s["end"]).alias("end"), acc["level"].alias("level"), acc["kept"].alias("kept"))
-        return F.when(s["start"] < acc["end"], joined).otherwise(F.struct(*(s[c].alias(c) for c in ("start", "kind", "end", "level")), last(acc).alias("kept")))
+    def united(s: Column, most: Column) -> Column:
+        leads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["start"] >= F.get(most, i - 1)))
+
+        def of(lead: Column) -> Column:
+            end = lambda k: F.get(most, F.coalesce(F.get(lead, k + 1), F.size(s)) - 1)
+            return F.transform(lead, lambda i, k: F.struct(F.get(s, i)["start"].alias("start"), F.get(s, i)["kind"].alias("kind"), end(k).alias("end"), F.get(s, i)["level"].alias("level")))
+
+        return _let(leads, of)
+
+    reach = lambda s: _running(F.transform(s, lambda x: x["end"]), -1, lambda a, x: F.greatest(a, x))
+    return F.when(F.size(spans) > 0, _let(spans, lambda s: _let(reach(s), lambda most: united(s, most)))).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,level:int>>"))
+
 
-    return F.aggregate(spans, start, step, last)
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """The text with ``mark(span, its first character)`` in the place of each span; spans are disjoint and sorted. The text is
+    first cut into stretches of ``BLOCK`` spans, as each substring is found from the beginning of its string."""
 
+    def whole(s: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(s, i - 1)["end"], F.lit(0))
+        last = lambda k: F.least((k + 1) * BLOCK, F.size(s))
 
-def _gap(text: Column, spans: Column, i: Column) -> Column:
-    """The text between a span and the one before it."""
-    before = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
-    return F.substring(text, before + 1, F.get(spans, i)["start"] - before)
+        def stretch(k: Column) -> Column:
+            begin = before(k * BLOCK)
 
+            def marked(part: Column) -> Column:
+                def one(i: Column) -> Column:
+                    at = F.get(s, i)["start"] - begin + 1
+                    return F.concat(F.substring(part, before(i) - begin + 1, F.get(s, i)["start"] - before(i)), mark(F.get(s, i), F.substring(part, at, F.lit(1))))
 
-def _after(text: Column, spans: Column) -> Column:
-    return F.substring(text, F.get(spans, F.size(spans) - 1)["end"] + 1, F.length(text))
+                return F.array_join(F.transform(F.sequence(k * BLOCK, last(k) - 1), one), "")
+
+            return _let(F.substring(text, begin + 1, before(last(k)) - begin), marked)
+
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), stretch)
+        return F.concat(F.array_join(parts, ""), F.substring(text, before(F.size(s)) + 1, F.length(text)))
+
+    return F.when(F.size(spans) > 0, _let(spans, whole)).otherwise(text)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced in the text: base spans by their kind, disclosing terms by
-    their initial or by a mark. Overlapping spans
-    are replaced as one, by the first one's kind. A null text stays null."""
+    their initial or by a mark. Overlapping spans are replaced as one, by the first one's kind.
+
+    A null text stays null, an empty one empty; repeated rows stay; an empty table gives an empty one. Other columns may have any names.
+    """
     columns = docs.columns
     found = find_personal_data(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("terms") > 0))
     spans = F.array_sort(F.concat(_plain(F.col("base")), _plain(F.col("terms"), F.lit(1))))
     # one row for each id and text, whatever repeats
-    marked = found.groupBy("doc_id", "text_hash").agg(F.first(spans).alias("all_"))
-    marked = C.checkpoint(marked.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), _disjoint(F.col("all_")).alias("spans_")))
-    text = F.col(text_col)
+    marked = found.groupBy("doc_id", "text_hash").agg(F.first(spans).alias("all"))
+    marked = C.checkpoint(marked.select("doc_id", "text_hash", _disjoint(F.col("all")).alias("spans")))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    mark = lambda s: F.when(s["kind"] < 4, F.get(names, s["kind"])).when(s["level"] == 2, F.lit("[TERM]")).otherwise(F.concat(F.substring(text, s["start"] + 1, F.lit(1)), F.lit(".")))
-    found = F.col("spans_")
-    parts = F.transform(found, lambda s, i: F.concat(_gap(text, found, i), mark(s)))
-    clean = F.concat(F.array_join(parts, ""), _after(text, found))
-    joined = docs.join(marked, F.col(id_col).eqNullSafe(F.col("id_")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("hash_")), "left")
-    return joined.withColumn(text_col, F.when(F.col("spans_").isNotNull(), clean).otherwise(text)).select(*columns)
+    mark = lambda s, first: F.when(s["kind"] < 4, F.get(names, s["kind"])).when(s["level"] == 2, F.lit("[TERM]")).otherwise(F.concat(first, F.lit(".")))
+    text = F.col(f"rest.{text_col}")
+    rows = docs.select(F.struct("*").alias("rest"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    joined = rows.join(marked, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    clean = F.when(F.col("spans").isNotNull(), _replaced(text, F.col("spans"), mark)).otherwise(text)
+    return joined.select(*(clean.alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in columns))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

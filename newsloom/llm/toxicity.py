@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -122,9 +121,13 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
 
 
 def judged(docs: DataFrame, chain: Chain, category: str, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with p_<category> of the whole chain and ``is_<category>``. Null and empty texts hold no words."""
-    out = chain.scored(docs.withColumn("terms_", terms(F.coalesce(F.col(text_col), F.lit("")))))
-    return out.withColumn(f"is_{category}", F.col(f"p_{category}") >= threshold)
+    """The same rows and columns with p_<category> of the whole chain and ``is_<category>``, which replace columns of those names.
+
+    Null and empty texts hold no words and are scored as such; repeated rows are scored alike; other columns may have any names.
+    """
+    out = chain.scored(docs.select(F.struct("*").alias("row"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("terms_")))
+    added = [*(f"p_{c}" for c in chain.categories), f"is_{category}"]
+    return out.withColumn(f"is_{category}", F.col(f"p_{category}") >= threshold).select(*(F.col(f"row.`{c}`") for c in docs.columns if c not in added), *added)
 
 
 def label_categories() -> dict[str, Column]:
@@ -141,10 +144,3 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.read_table(spark, sf_dir, "documents")
     out = toxicity(spark, docs, docs, C.read_table(spark, sf_dir, "labels"))
     return out.select("doc_id", "p_low_quality", "p_toxic", F.col("is_toxic").alias("toxic"))
-
-
-def held_out_accuracy(scored: DataFrame, labels: DataFrame) -> tuple[float, float, float]:
-    """Precision, recall and accuracy of ``toxic`` against labels."""
-    got = np.array([tuple(r) for r in scored.join(labels.select("doc_id", F.col("toxic").alias("truth")), "doc_id").select(F.col("toxic").cast("int"), "truth").collect()])
-    hit = int((got[:, 0] & got[:, 1]).sum())
-    return hit / max(int(got[:, 0].sum()), 1), hit / max(int(got[:, 1].sum()), 1), float((got[:, 0] == got[:, 1]).mean())
