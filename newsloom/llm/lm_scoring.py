@@ -8,7 +8,8 @@ weight learnt from the corpus. A text's code length is the sum over its bytes of
 Spark does the gathering: training texts become counts of six-byte grams (and of words, for the base score), merged by
 a shuffle on the two most recent context bytes, so that a group holds whole subtrees; depths 0 and 1 (at most 256 *
 255 nodes, whatever the input) are finished on the driver. To score, each chunk of documents asks for its distinct grams
-and words and gets their log-probabilities and counts back by a join; no model is broadcast.
+and words, by ranges of their hashes. Grams are made distinct there, so a common context meets each gram once and not once for
+each chunk; their log-probabilities come back by the same hashes, and the chunks' answers from them. No model is broadcast.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     for _ in range(6):
         shift *= y
         y += 1
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - np.log(shift)
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -170,6 +171,10 @@ _ASKED = "kind int, bucket int, chunk int, keys binary"
 _ASKED_T = {"kind": pa.int32(), "bucket": pa.int32(), "chunk": pa.int32(), "keys": pa.binary()}
 _TOLD = "chunk int, kind int, bucket int, payload binary"
 _TOLD_T = {"chunk": pa.int32(), "kind": pa.int32(), "bucket": pa.int32(), "payload": pa.binary()}
+_OPEN = "context int, bucket int, keys binary"
+_OPEN_T = {"context": pa.int32(), "bucket": pa.int32(), "keys": pa.binary()}
+_KNOWN = "kind int, bucket int, keys binary, counts binary"
+_KNOWN_T = {"kind": pa.int32(), "bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
 
 
 def _table(kinds: dict, rows: list[tuple]) -> pa.Table:
@@ -177,15 +182,21 @@ def _table(kinds: dict, rows: list[tuple]) -> pa.Table:
     return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols, strict=True)})
 
 
-def _by_bucket(kind: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of sorted keys by bucket, and the parts: words by range of the hash, grams by their two recent bytes."""
-    if kind == WORDS:
-        return np.arange(len(keys)), C.parts(C.bucket_of(keys, buckets))
-    bucket = (C.mix(keys >> _U(8 * (DEPTH - 1))) % _U(buckets)).astype(np.int64)
+def _in_order(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     order = np.argsort(bucket, kind="stable")
     return order, C.parts(bucket[order])
 
 
+def _by_bucket(kind: int, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of sorted keys by bucket of their hash, and the parts."""
+    return _in_order(C.bucket_of(keys if kind == WORDS else C.mix(keys), buckets))
+
+
+def _by_context(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of sorted grams by their two recent bytes."""
+    return _in_order((C.mix(keys >> _U(8 * (DEPTH - 1))) % _U(buckets)).astype(np.int64))
+
+
 def _pieces(offsets: np.ndarray) -> list[tuple[int, int]]:
     """Runs of documents of about _PIECE bytes."""
     cut = np.searchsorted(offsets, np.arange(_PIECE, int(offsets[-1]) + _PIECE, _PIECE))
@@ -223,7 +234,7 @@ def train(docs: DataFrame, buckets: int) -> tuple[DataFrame, Upper, int, int]:
                     found, held = {k: [_merged(v)] for k, v in found.items()}, 0
         for kind, parts in found.items():
             keys, counts = _merged(parts)
-            order, cuts = _by_bucket(kind, keys, buckets)
+            order, cuts = _by_context(keys, buckets) if kind == GRAMS else _by_bucket(kind, keys, buckets)
             keys, counts = keys[order], counts[order]
             for b, i, j in cuts:
                 yield from _table(_COUNTED_T, [(kind, b, C.pack(keys[i:j]), C.pack(counts[i:j]))]).to_batches()
@@ -279,15 +290,38 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             rows += [(kind, b, chunk, C.pack(keys[i:j])) for b, i, j in cuts]
         return _table(_ASKED_T, rows)
 
+    def distinct(table: pa.Table) -> pa.Table:
+        """The grams that any chunk asks for, once each, by their context."""
+        if table.column("kind")[0].as_py() == WORDS:
+            return _table(_OPEN_T, [])
+        keys = np.unique(np.concatenate([C.unpack(k, np.uint64) for k in table.column("keys").to_pylist()]))
+        order, cuts = _by_context(keys, buckets)
+        keys, bucket = keys[order], table.column("bucket")[0].as_py()
+        return _table(_OPEN_T, [(c, bucket, C.pack(keys[i:j])) for c, i, j in cuts])
+
     def tell(key, asked: pa.Table, counted: pa.Table) -> pa.Table:
+        """Log-probabilities of one context's grams, back to the buckets that asked."""
         if not asked.num_rows:
-            return _table(_TOLD_T, [])
-        kind, bucket = key[0].as_py(), key[1].as_py()
+            return _table(_KNOWN_T, [])
         wanted = [C.unpack(k, np.uint64) for k in asked.column("keys").to_pylist()]
         have = [(C.unpack(k, np.uint64), C.unpack(c, np.int64)) for k, c in zip(counted.column("keys").to_pylist(), counted.column("counts").to_pylist(), strict=True)]
         keys, counts = _merged([*have, *((w, np.zeros(len(w), np.int64)) for w in wanted)])
-        values = counts if kind == WORDS else Trees(keys, counts).log10(upper).astype(np.float32)
-        return _table(_TOLD_T, [(c, kind, bucket, C.pack(values[np.searchsorted(keys, w)])) for c, w in zip(asked.column("chunk").to_pylist(), wanted, strict=True)])
+        logs = Trees(keys, counts).log10(upper)
+        return _table(_KNOWN_T, [(GRAMS, b, C.pack(w), C.pack(logs[np.searchsorted(keys, w)])) for b, w in zip(asked.column("bucket").to_pylist(), wanted, strict=True)])
+
+    def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
+        """To each chunk the counts of its words, or the log-probabilities of its grams, in the order in which it asked."""
+        kind, bucket, rows = key[0].as_py(), key[1].as_py(), []
+        dtype = np.int64 if kind == WORDS else np.float64
+        keys = np.concatenate([np.zeros(0, np.uint64), *(C.unpack(k, np.uint64) for k in known.column("keys").to_pylist())])
+        values = np.concatenate([np.zeros(0, dtype), *(C.unpack(v, dtype) for v in known.column("counts").to_pylist())])
+        order = np.argsort(keys, kind="stable")
+        keys, values = np.r_[keys[order], _U(0)], np.r_[values[order], np.zeros(1, dtype)]  # one more for words beyond all
+        for chunk, packed in zip(asked.column("chunk").to_pylist(), asked.column("keys").to_pylist(), strict=True):
+            w = C.unpack(packed, np.uint64)
+            at = np.searchsorted(keys[:-1], w)
+            rows.append((chunk, kind, bucket, C.pack(np.where(keys[at] == w, values[at], 0).astype(dtype))))
+        return _table(_TOLD_T, rows)
 
     def finish(key, table: pa.Table, told: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
@@ -295,7 +329,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             return schema.empty_table()
         got = {(k, b): p for k, b, p in zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("payload").to_pylist(), strict=True)}
         keys, value = distinct_keys(table), {}
-        for kind, dtype in ((WORDS, np.int64), (GRAMS, np.float32)):
+        for kind, dtype in ((WORDS, np.int64), (GRAMS, np.float64)):
             order, cuts = _by_bucket(kind, keys[kind], buckets)
             value[kind] = np.zeros(len(order), dtype)
             value[kind][order] = np.concatenate([C.unpack(got[kind, b], dtype) for b, _, _ in cuts]) if cuts else np.zeros(0, dtype)
@@ -311,7 +345,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
             if some.any():
                 sums[some] = np.add.reduceat(base[at], first[some])
             known = np.bincount(doc, value[WORDS][at] > 0, k).astype(np.int64)
-            logs = value[GRAMS][np.searchsorted(keys[GRAMS], gram_codes(part, o))].astype(np.float64)
+            logs = value[GRAMS][np.searchsorted(keys[GRAMS], gram_codes(part, o))]
             out["n_tokens"].append(n_words + 1)
             out["n_known"].append(known + (n_end > 0))
             out["base_score"].append(sums + math.log10((n_end + 0.5) / floor))
@@ -320,7 +354,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         return pa.table({"doc_id": table.column("doc_id"), "train": table.column("train"), **{k: np.concatenate(v) for k, v in out.items()}}, schema=schema)
 
     asked = chunks.groupBy("chunk").applyInArrow(ask, _ASKED)
-    told = asked.groupBy("kind", "bucket").cogroup(table.groupBy("kind", "bucket")).applyInArrow(tell, _TOLD)
+    by_hash = asked.groupBy("kind", "bucket")
+    grams = table.where(F.col("kind") == GRAMS).select(F.col("bucket").alias("context"), "keys", "counts")
+    logs = by_hash.applyInArrow(distinct, _OPEN).groupBy("context").cogroup(grams.groupBy("context")).applyInArrow(tell, _KNOWN)
+    known = logs.unionByName(table.where(F.col("kind") == WORDS))
+    told = by_hash.cogroup(known.groupBy("kind", "bucket")).applyInArrow(answer, _TOLD)
     out = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * F.lit(math.log2(10)) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
