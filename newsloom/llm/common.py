@@ -219,6 +219,32 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.r_[True, a[1:] != a[:-1]]] if len(a) else a
 
 
+def unique(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a plain sort is several times faster than numpy's own for millions of 64-bit integers."""
+    return distinct(np.sort(a))
+
+
+def unique_counts(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s = np.sort(a)
+    lead = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    return s[lead], np.diff(np.r_[lead, len(s)])
+
+
+class Ranked:
+    """Distinct values of an array, and any property of theirs spread over its places again."""
+
+    def __init__(self, a: np.ndarray):
+        self.order = np.argsort(a)
+        s = a[self.order]
+        new = np.r_[True, s[1:] != s[:-1]] if len(s) else np.zeros(0, bool)
+        self.values, self.rank = s[new], (np.cumsum(new) - 1).astype(np.int32)
+
+    def spread(self, of_values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(self.order), of_values.dtype)
+        out[self.order] = of_values[self.rank]
+        return out
+
+
 def sums_by_document(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.result_type(values.dtype, np.int64))
     np.cumsum(values, out=total[1:])

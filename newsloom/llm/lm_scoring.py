@@ -183,7 +183,7 @@ def _table(kinds: dict, rows: list[tuple]) -> pa.Table:
 
 
 def _in_order(bucket: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
     return order, C.parts(bucket[order])
 
 
@@ -207,8 +207,10 @@ def _pieces(offsets: np.ndarray) -> list[tuple[int, int]]:
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     counts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    values, inverse = np.unique(keys, return_inverse=True)
-    return values, np.bincount(inverse, counts, len(values)).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    lead = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[lead], np.add.reduceat(counts[order], lead).astype(np.int64) if len(lead) else np.zeros(0, np.int64)
 
 
 def _words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +230,7 @@ def train(docs: DataFrame, buckets: int) -> tuple[DataFrame, Upper, int, int]:
             for i, j in _pieces(offsets):
                 part, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 for kind, keys in ((WORDS, _words_of(part, o)[0]), (GRAMS, gram_codes(part, o))):
-                    found[kind].append(np.unique(keys, return_counts=True))
+                    found[kind].append(C.unique_counts(keys))
                     held += len(found[kind][-1][0])
                 if held > 8_000_000:
                     found, held = {k: [_merged(v)] for k, v in found.items()}, 0
@@ -278,9 +280,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     def distinct_keys(table: pa.Table) -> dict[int, np.ndarray]:
         found: dict[int, list] = {WORDS: [], GRAMS: []}
         for part, o in parts_of(table):
-            found[WORDS].append(np.unique(_words_of(part, o)[0]))
-            found[GRAMS].append(np.unique(gram_codes(part, o)))
-        return {k: np.unique(np.concatenate(v)) if v else np.zeros(0, np.uint64) for k, v in found.items()}
+            found[WORDS].append(C.unique(_words_of(part, o)[0]))
+            found[GRAMS].append(C.unique(gram_codes(part, o)))
+        return {k: C.unique(np.concatenate(v)) if v else np.zeros(0, np.uint64) for k, v in found.items()}
 
     def ask(table: pa.Table) -> pa.Table:
         chunk, rows = table.column("chunk")[0].as_py(), []
@@ -294,7 +296,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         """The grams that any chunk asks for, once each, by their context."""
         if table.column("kind")[0].as_py() == WORDS:
             return _table(_OPEN_T, [])
-        keys = np.unique(np.concatenate([C.unpack(k, np.uint64) for k in table.column("keys").to_pylist()]))
+        keys = C.unique(np.concatenate([C.unpack(k, np.uint64) for k in table.column("keys").to_pylist()]))
         order, cuts = _by_context(keys, buckets)
         keys, bucket = keys[order], table.column("bucket")[0].as_py()
         return _table(_OPEN_T, [(c, bucket, C.pack(keys[i:j])) for c, i, j in cuts])
@@ -328,24 +330,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         if not table.num_rows:
             return schema.empty_table()
         got = {(k, b): p for k, b, p in zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("payload").to_pylist(), strict=True)}
-        keys, value = distinct_keys(table), {}
+        coded = []
+        for part, o in parts_of(table):
+            h, doc = _words_of(part, o)
+            coded.append((o, doc, {WORDS: C.Ranked(h), GRAMS: C.Ranked(gram_codes(part, o))}))
+        keys, value = {k: C.unique(np.concatenate([np.zeros(0, np.uint64), *(r[k].values for _, _, r in coded)])) for k in (WORDS, GRAMS)}, {}
         for kind, dtype in ((WORDS, np.int64), (GRAMS, np.float64)):
             order, cuts = _by_bucket(kind, keys[kind], buckets)
             value[kind] = np.zeros(len(order), dtype)
             value[kind][order] = np.concatenate([C.unpack(got[kind, b], dtype) for b, _, _ in cuts]) if cuts else np.zeros(0, dtype)
         base = np.log10((value[WORDS] + 0.5) / floor)
         out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "n_bytes")}
-        for part, o in parts_of(table):
-            h, doc = _words_of(part, o)
-            at, k = np.searchsorted(keys[WORDS], h), len(o) - 1
+        for o, doc, ranked in coded:
+            words, k = np.searchsorted(keys[WORDS], ranked[WORDS].values), len(o) - 1
             n_words = np.bincount(doc, minlength=k)
             first = np.cumsum(n_words) - n_words
             some = n_words > 0
             sums = np.zeros(k)
             if some.any():
-                sums[some] = np.add.reduceat(base[at], first[some])
-            known = np.bincount(doc, value[WORDS][at] > 0, k).astype(np.int64)
-            logs = value[GRAMS][np.searchsorted(keys[GRAMS], gram_codes(part, o))]
+                sums[some] = np.add.reduceat(ranked[WORDS].spread(base[words]), first[some])
+            known = np.bincount(doc, ranked[WORDS].spread(value[WORDS][words] > 0), k).astype(np.int64)
+            logs = ranked[GRAMS].spread(value[GRAMS][np.searchsorted(keys[GRAMS], ranked[GRAMS].values)])
             out["n_tokens"].append(n_words + 1)
             out["n_known"].append(known + (n_end > 0))
             out["base_score"].append(sums + math.log10((n_end + 0.5) / floor))
