@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.conf.get("spark.checkpoint.dir", None):
         return spark.conf.get("spark.checkpoint.dir")
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
@@ -62,6 +64,19 @@ def with_chunks(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
 
 
+def bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each ``slot`` below 2**bits; of one size whatever the rows, so it goes with tasks where a list would grow."""
+    words = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits"))
+    out = np.zeros(1 << bits - 6, np.int64)
+    for r in words.groupBy(F.shiftright("at", 8)).agg(F.collect_list(F.struct("at", "bits")).alias("w")).select(F.col("w.at").alias("at"), F.col("w.bits").alias("bits")).toLocalIterator():
+        out[r["at"]] = r["bits"]
+    return out.view(np.uint8)
+
+
+def is_set(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
 # -- inside tasks ---------------------------------------------------------------------------------------------------
 
 
