@@ -6,7 +6,8 @@ needs every shingle of a window, so its prefix is one token: the rarest. A secon
 places of prefix tokens with the words around them; these join the windows on the token, keep those where the
 window fits between the text's ends (length and position), and are verified word for word.
 
-Benchmark-sized tables are broadcast only under a checked number of rows; beyond it the same joins shuffle.
+Benchmark-sized tables are broadcast only under a checked number of rows; beyond it the same joins shuffle, and tasks get a
+bitmap of fixed size in the place of the list of prefix tokens, which the join on the token then makes exact.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 WINDOW, SHINGLE = 10, 3
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, MASK_BITS = 200_000, 26
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -40,7 +42,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, n, words, tokens): distinct windows of each item; tokens are its shingles with their place."""
+    """(item_id, words, tokens): distinct windows of each item; tokens are its shingles in order. Null texts and texts without words
+    have none; repeated items give the same windows again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches):
@@ -102,7 +105,7 @@ def _all_shingles(docs: DataFrame, sizes: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _texts(batches):
             for ws in texts:
-                yield pa.RecordBatch.from_pydict({"token": [b" ".join(ws[k : k + s]).decode() for s in sizes for k in range(len(ws) - s + 1)]})
+                yield pa.RecordBatch.from_arrays([pa.array([b" ".join(ws[k : k + s]).decode() for s in sizes for k in range(len(ws) - s + 1)], pa.string())], ["token"])
 
     return docs.select("text").mapInArrow(run, "token string").groupBy("token").agg(F.count("*").alias("n"))
 
@@ -125,17 +128,39 @@ def token_counts(docs: DataFrame, tokens: list[str]) -> DataFrame:
 _PLACES = "row long, doc_id long, n_words long, places array<struct<token:string,at:long,before:array<string>,after:array<string>>>"
 
 
-def _places(docs: DataFrame, prefixes: list[str], window: int) -> DataFrame:
+class Mask:
+    """Finds shingles whose hash is in a bitmap; some of them are others."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    def find(self, words: list[bytes]) -> tuple[list[int], list[str]]:
+        found = [(k, t) for n in range(1, SHINGLE + 1) for k, t in enumerate(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1))]
+        slots = np.array([xxhash.xxh64_intdigest(t, 42) & ((1 << MASK_BITS) - 1) for _, t in found], np.int64)
+        hit = np.flatnonzero(C.is_set(self.bits, slots)).tolist()
+        return [found[k][0] for k in hit], [found[k][1].decode() for k in hit]
+
+
+class Listed:
+    """Finds the listed shingles."""
+
+    def __init__(self, tokens: list[str]):
+        self.tokens, self.vocabulary = tokens, Vocabulary(tokens)
+
+    def find(self, words: list[bytes]) -> tuple[list[int], list[str]]:
+        at, number = self.vocabulary.find(words)
+        return at.tolist(), [self.tokens[k] for k in number.tolist()]
+
+
+def _places(docs: DataFrame, prefixes: Listed | Mask, window: int) -> DataFrame:
     """Each document's words and where prefix tokens stand, with up to ``window`` words on both sides."""
-    vocabulary = Vocabulary(prefixes)
     kind = pa.list_(pa.struct([("token", pa.string()), ("at", pa.int64()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _texts(batches):
             found = []
             for ws in texts:
-                at, number = vocabulary.find(ws)
-                found.append([{"token": prefixes[k], "at": p, "before": [x.decode() for x in ws[max(0, p - window) : p]], "after": [x.decode() for x in ws[p : p + window]]} for p, k in zip(at.tolist(), number.tolist(), strict=True)])
+                found.append([{"token": t, "at": p, "before": [x.decode() for x in ws[max(0, p - window) : p]], "after": [x.decode() for x in ws[p : p + window]]} for p, t in zip(*prefixes.find(ws), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(ws) for ws in texts], pa.int64()), pa.array(found, kind)], ["row", "doc_id", "n_words", "places"])
 
     return docs.mapInArrow(run, _PLACES)
@@ -163,8 +188,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     # a window whose rarest shingle never occurs cannot occur
     prefix = C.checkpoint(ranked.where("rarest.n > 0").select("item_id", "words", F.size("words").alias("length"), F.col("rarest.token").alias("token"), F.col("rarest.offset").alias("offset")))
     wanted = prefix.select("token").distinct()
-    # at most one prefix token for each window of the benchmark, of which tasks hold the list
-    places = _places(docs.select("row", "doc_id", "text"), sorted(r[0] for r in wanted.toLocalIterator()), window)
+    # at most one prefix token for each window, so the list is bounded where all tokens are
+    slot = F.xxhash64("token").bitwiseAND(F.lit((1 << MASK_BITS) - 1)).alias("slot")
+    finder = Listed(sorted(r[0] for r in wanted.collect())) if small else Mask(C.bitmap(wanted.select(slot), MASK_BITS))
+    places = _places(docs.select("row", "doc_id", "text"), finder, window)
     found = C.checkpoint(places)
     spots = found.where(F.size("places") > 0).select("row", "n_words", F.inline("places"))
     fits = (F.col("at") >= F.col("offset")) & (F.col("at") - F.col("offset") + F.col("length") <= F.col("n_words"))
