@@ -11,6 +11,7 @@ path ends at each boundary, and it is the model's own segmentation. Both hence g
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPACE = "▁"
-CACHED, KEPT = 1_000_000, 64  # stretches remembered, and the characters of the longest of them
+CACHED, KEPT = 8_000_000, 64  # characters of the stretches that are remembered, and of the longest of them
 
 
 class Model:
@@ -178,8 +179,14 @@ class Codec:
     def __init__(self, proto: bytes):
         self.m = Model(proto)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self._cut = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+") if not self.m.inner_space and "\n" not in "".join(self.m.pieces) else None
 
+    def _keep(self, part: str, ids: bytes) -> None:
+        if len(part) <= KEPT:
+            self.known[part] = ids
+            self.held += len(part)
+
     def _search(self, text: str) -> bytes:
         v = StreamingViterbi(self.m)
         return array("i", v.feed(text) + v.finish()).tobytes()
@@ -198,8 +205,7 @@ class Codec:
             ids = self.known.get(p)
             if ids is None:
                 ids = self._search(p)
-                if len(p) <= KEPT:
-                    self.known[p] = ids
+                self._keep(p, ids)
             out[k] = ids
         return b"".join(out)
 
@@ -210,18 +216,19 @@ class Codec:
         text = (SPACE if self.m.dummy_prefix else "") + text.replace(" ", SPACE)
         if self._cut is None:
             return self._stretch(text)
-        if len(self.known) > CACHED:
-            self.known = {}
-        if len(self.m.stable) > CACHED:
+        if self.held > CACHED:
+            self.known, self.held = {}, 0
+        if len(self.m.stable) > CACHED // 8:
             self.m.stable.clear()
         known, parts = self.known, self._cut.findall(text)
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            for p in set(parts):
-                if p not in known:
-                    known[p] = self._stretch(p)
-            return b"".join(map(known.__getitem__, parts))
+            own = {p: self._stretch(p) for p in set(parts) if p not in known}
+            out = b"".join([known[p] if p in known else own[p] for p in parts])
+            for p, ids in own.items():
+                self._keep(p, ids)
+            return out
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.m.raw.__getitem__, ids.tolist()))
@@ -230,11 +237,11 @@ class Codec:
         return raw.decode("utf-8", "replace")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
 def codec(proto: bytes) -> Codec:
-    key = zlib.crc32(proto)
+    key = hashlib.sha256(proto).hexdigest()
     if key not in _codecs:
         _codecs[key] = Codec(proto)
     return _codecs[key]

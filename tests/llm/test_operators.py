@@ -58,6 +58,7 @@ def test_sentencepiece(spark, docs, rows, empty):
     assert {k: v[0] for k, v in by_id(sentencepiece_viterbi.decode(got, path), "text").items()} == {i: (t or "").replace("▁", " ") for i, t in rows}
     assert sentencepiece_viterbi.encode(empty, path).count() == 0
     codec = sentencepiece_viterbi.codec(open(path, "rb").read())
+    assert codec.encode("x" * 5000 + "一二三四" * 3000) and all(len(p) <= sentencepiece_viterbi.KEPT for p in codec.known)
     search = sentencepiece_viterbi.StreamingViterbi(codec.m)
     for part in ["▁the▁quick▁brown▁fox▁jumps"] * 400:
         search.feed(part)
@@ -138,12 +139,15 @@ def test_pii_overlapping_spans_leave_nothing(spark):
         assert "@" not in text and not any(ch.isdigit() for ch in text)
 
 
-def test_decontamination(spark, docs, rows, empty):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination(spark, docs, rows, empty, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
     passage = rows[7][1].split()
     items = [(1, " ".join(passage[5:30])), (2, "One"), (3, None), (4, "!!"), (5, "two words"), (5, "two words"), (6, "words not there at all in any text of this little fixture")]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"])) for r in decontaminate.contamination(docs, table).collect()}
-    assert got == {i: w[:3] for i, w in decontaminate.brute_force(rows, items).items()}
+    sha = lambda x: __import__("hashlib").sha256(",".join(x).encode()).hexdigest()
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), sha(r["items"]), r["n_hit"] > 0) for r in decontaminate.contamination(docs, table).collect()}
+    assert got == decontaminate.brute_force(rows, items)
     assert decontaminate.contamination(empty, table).count() == 0
     assert {r["n_hit"] for r in decontaminate.contamination(docs, table.limit(0)).collect()} == {0}
 
