@@ -411,8 +411,8 @@ def source_dashboard(spark, sf):
 
 @query(None)
 def parsed_feed_items(spark, sf):
-    """Documents rendered as one feed for each source and parsed again."""
-    d = _articles(spark, sf).select("source", "doc_id", F.format_string("<item><title>%s</title><link>https://x.example/%s</link><description>%s</description></item>", T.escape_html(F.col("title")), F.col("doc_id"), T.escape_html(F.substring("text", 1, 500))).alias("item"))
+    """Each document rendered whole as a feed of one item and parsed again."""
+    d = _articles(spark, sf).select("source", "doc_id", F.format_string("<item><title>%s</title><link>https://x.example/%s</link><description>%s</description></item>", T.escape_html(F.col("title")), F.col("doc_id"), T.escape_html(F.col("text"))).alias("item"))
     raw = d.withColumn("body", F.concat(F.lit("<rss><channel><title>t</title>"), F.col("item"), F.lit("</channel></rss>")))
     return feeds.parse_feeds(raw).select("doc_id", F.size("items").cast("long").alias("n"), F.get("items", 0)["title"].alias("title"), F.get("items", 0)["link"].alias("link"))
 

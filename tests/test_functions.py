@@ -66,9 +66,9 @@ def test_windows():
     assert D.format_range(w.start, w.end) == "du 19 au 25 juillet 2026"
     assert D.edition_slug(w.start) == "2026-07-19"
     assert D.resolve_window(now).start == now - dt.timedelta(days=7)
-    with pytest.raises(ValueError, match="précéder"):  # an unreadable end counts as 1970
+    with pytest.raises(ValueError, match="before it starts"):  # an unreadable end counts as 1970
         D.resolve_window(now, until="rien")
-    with pytest.raises(ValueError, match="illisible"):
+    with pytest.raises(ValueError, match="no date"):
         D.resolve_window(now, since="rien")
 
 
