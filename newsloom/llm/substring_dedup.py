@@ -72,12 +72,13 @@ class _Stretches:
         pick = order[first]  # of each distinct stretch, the row of smallest id
         place = start[pick] + left[pick]
         low, high = np.where(late[lead][pick], place - self.half - 1, place), np.where(late[lead][pick], place + gram, place + gram + self.half)
-        seed = C.mix(w.roll(low, high) + late[lead][pick])
+        seed, other = C.mix(w.roll(low, high) + late[lead][pick]), second(low, high)
         order = np.argsort(seed, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.of = rank[of]
         pick = pick[order]
+        self.other, self.low, self.high = other[order], low[order], high[order]
         self.seed, self.ids, self.left, self.right, self.start, self.end, self.windows, self.late = seed[order], ids[pick], left[pick], right[pick], start[pick], end[pick], self.n[pick], late[lead][pick]
 
 
@@ -90,20 +91,22 @@ def _split(classes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _earlier(seed: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, late: np.ndarray, words: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """For each window of each stretch, in order: whether a stretch of smaller id has it, by extending the seeds."""
+def _earlier(seed: np.ndarray, other: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray, late: np.ndarray, words: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """For each window of each stretch, in order: whether a stretch of smaller id has it, by extending the seeds. ``words`` are
+    those outside the seeds, which are equal where both their hashes are."""
     reach, half = window - gram, (window - gram + 1) // 2
-    size = left + gram + right
+    within = gram + half + late  # words of the seed
+    size = left + gram + right - within
     table = np.zeros((len(seed), 2 * reach + gram), np.uint64)  # column ``reach`` is the anchor's first word
     row = np.repeat(np.arange(len(seed)), size)
-    table[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + (reach - left)[row]] = words
+    column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + (reach - left)[row]
+    begin = np.where(late, reach - half - 1, reach)
+    table[row, column + np.where(column >= begin[row], within[row], 0)] = words
     found = np.zeros((len(seed), reach + 1), bool)  # by the number of words before the anchor
     for side in (False, True):
         at = np.flatnonzero(late == side)
         low, high = (reach - half - 1, reach + gram - 1) if side else (reach, reach + gram + half - 1)
-        base = np.unique(seed[at], return_inverse=True)[1]
-        for k in range(low, high + 1):
-            base = _split(base, table[at, k])
+        base = _split(np.unique(seed[at], return_inverse=True)[1], other[at])
         to_left, to_right = {low: base}, {high: base}
         for k in range(low - 1, -1, -1):
             to_left[k] = _split(to_left[k + 1], table[at, k])
@@ -171,8 +174,8 @@ def substring_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
 
     Returns per input row: doc_id, n_words, n_removed, spans (array of first and end word of each maximal repeat),
     kept (the remaining words joined by single spaces). A null text has no words. Rows of equal id are one document for the rule
-    "smaller id" (they do not remove each other) but keep a row each; a null id counts as the smallest. Words are compared by
-    64-bit hashes, each at its place beside an equal seed.
+    "smaller id" (they do not remove each other) but keep a row each; a null id counts as the smallest. Seeds are compared
+    by two hashes of 64 bits, the words around them by one each, at their places.
     """
     docs = C.id_text(docs, id_col, text_col)
     n = C.chunk_count(docs)
@@ -201,18 +204,19 @@ def substring_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, i
         for b, i, j in C.parts(C.bucket_of(x.seed, buckets)):
             size = x.end[i:j] - x.start[i:j]
             at = np.repeat(x.start[i:j] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            at = at[(at < np.repeat(x.low[i:j], size)) | (at >= np.repeat(x.high[i:j], size))]
             shape = np.stack([x.left[i:j], x.right[i:j], x.late[i:j]]).astype(np.uint8)
-            out.append((b, key[0].as_py(), C.pack(x.seed[i:j]), C.pack(x.ids[i:j]), shape.tobytes(), C.pack(w.words[at])))
+            out.append((b, key[0].as_py(), C.pack(np.r_[x.seed[i:j], x.other[i:j]]), C.pack(x.ids[i:j]), shape.tobytes(), C.pack(w.words[at])))
         return _rows(_WORDS_T, out)
 
     def earlier(table: pa.Table) -> pa.Table:
         """Whether a smaller id has the window, for each window of each stretch."""
-        seeds = [C.unpack(x, np.uint64) for x in table.column("seeds").to_pylist()]
+        seeds = [C.unpack(x, np.uint64).reshape(2, -1) for x in table.column("seeds").to_pylist()]
         shape = np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in table.column("shape").to_pylist()], axis=1).astype(np.int64)
         ids, words = (np.concatenate([C.unpack(x, t) for x in table.column(c).to_pylist()]) for c, t in (("ids", np.int64), ("words", np.uint64)))
-        flags = _earlier(np.concatenate(seeds), ids, shape[0], shape[1], shape[2] > 0, words, window, gram)
+        flags = _earlier(*np.concatenate(seeds, axis=1), ids, shape[0], shape[1], shape[2] > 0, words, window, gram)
         n_windows = shape[0] + shape[1] - (window - gram) + 1
-        ends = np.cumsum(n_windows)[np.cumsum([len(x) for x in seeds]) - 1]
+        ends = np.cumsum(n_windows)[np.cumsum([x.shape[1] for x in seeds]) - 1]
         return _rows(_BACK_T, [(c, b, np.packbits(f).tobytes()) for c, b, f in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), np.split(flags, ends[:-1]), strict=True)])
 
     def cut(key, table: pa.Table, answers: pa.Table) -> pa.Table:
