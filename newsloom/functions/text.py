@@ -122,9 +122,11 @@ def significant_stems(title: Column) -> Column:
 
 
 def trigrams(title: Column) -> Column:
-    padded = F.concat(F.lit(" "), normalize_title(title), F.lit(" "))
-    places = F.when(F.length(padded) >= 3, F.sequence(F.lit(1), F.greatest(F.length(padded) - 2, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(padded, i, F.lit(3))))
+    """Distinct runs of three characters of the normal title between two spaces."""
+    none = F.array().cast("array<string>")
+    runs = lambda p: F.when(F.length(p) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - 2, F.lit(1))), lambda i: F.substring(p, i, F.lit(3)))).otherwise(none)
+    # the title is made normal once for all places, as a variable of the outer transform
+    return F.array_distinct(F.get(F.transform(F.array(F.concat(F.lit(" "), normalize_title(title), F.lit(" "))), runs), F.lit(0)))
 
 
 def shared(a: Column, b: Column) -> Column:

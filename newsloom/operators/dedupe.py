@@ -28,37 +28,41 @@ def fingerprints(groups: DataFrame, title: str = "title") -> DataFrame:
     return groups.withColumn("stems", T.significant_stems(F.col(title))).withColumn("n_words", F.size(T.significant_tokens(F.col(title)))).withColumn("grams", T.trigrams(F.col(title)))
 
 
-def same_subject(a: str, b: str, generic: list[str] = ()) -> Column:
-    """Titles on one subject: close stems; loosely close stems with close trigrams; or two shared stems that mean something,
-    and half of the shorter title's stems shared."""
-    sa, sb = F.col(f"{a}.stems"), F.col(f"{b}.stems")
-    near = T.jaccard(sa, sb)
-    both = F.array_intersect(sa, sb)
+def same_subject(both: Column, na: Column, nb: Column, generic: list[str] = ()) -> tuple[Column, Column]:
+    """Whether titles of na and nb stems, ``both`` of them shared, have one subject, and whether close trigrams would make it one.
+
+    One subject: close stems; or two shared stems that mean something, and half of the shorter title's stems shared.
+    """
+    near = F.size(both) / (na + nb - F.size(both))
     telling = F.array_except(both, F.array(*(F.lit(g) for g in generic)).cast("array<string>"))
-    least = F.least(F.size(sa), F.size(sb))
-    included = (F.size(telling) >= DISTINCTIVE) & (F.size(both) / F.greatest(least, F.lit(1)) >= INCLUSION)
-    return (near >= JACCARD) | ((near >= LOOSE_JACCARD) & (T.dice(F.col(f"{a}.grams"), F.col(f"{b}.grams")) >= DICE)) | included
+    included = (F.size(telling) >= DISTINCTIVE) & (F.size(both) / F.least(na, nb) >= INCLUSION)
+    return (near >= JACCARD) | included, near >= LOOSE_JACCARD
 
 
 def similar_pairs(groups: DataFrame, generic: list[str] = (), key: str = "group_ord", block: str = "block") -> DataFrame:
     """(block, a, b) with a before b, for groups with stems, n_words and grams whose titles share a subject.
 
-    A prefix-filtered join within the block: whatever branch holds, the shorter title shares at least 34 per cent of its own stems,
-    so one of its rarest stems is shared; only those probe, and the commonest stems meet nothing.
+    A prefix-filtered join within the block. Whatever branch holds, a pair shares half of the shorter title's stems, and two of them
+    where there are two. With stems in one order, rare ones first, the first shared stem therefore lies ahead of the last
+    ``need - 1`` stems of either title. A pair meets at that stem alone, so no pair comes twice; trigrams are joined only where they decide.
     """
     usable = groups.where(F.col("n_words") >= LEAST_WORDS).select(F.col(block).alias("block"), F.col(key).alias("key"), "stems", "grams")
-    each = usable.select("block", "key", F.size("stems").alias("n"), F.explode("stems").alias("stem"))
+    each = usable.select("block", "key", F.explode("stems").alias("stem"))
     counts = each.groupBy("block", "stem").agg(F.count("*").alias("in_block"))
-    ranked = each.join(counts, ["block", "stem"]).withColumn("rank", F.row_number().over(Window.partitionBy("block", "key").orderBy("in_block", "stem")))
-    needed = F.ceil(F.col("n") * LOOSE_JACCARD - 1e-9)
-    probe = ranked.where(F.col("rank") <= F.col("n") - needed + 1).select("block", "stem", F.col("key").alias("p"), F.col("n").alias("np"))
-    index = each.select("block", "stem", F.col("key").alias("q"), F.col("n").alias("nq"))
-    found = probe.join(index, ["block", "stem"]).where((F.col("p") != F.col("q")) & (F.col("np") <= F.col("nq")))
-    pairs = found.select("block", F.least("p", "q").alias("a_key"), F.greatest("p", "q").alias("b_key")).distinct()
-    side = lambda name: usable.select(F.col("block").alias(f"{name}_block"), F.col("key").alias(f"{name}_key"), F.struct("stems", "grams").alias(name))
-    a, b = side("a"), side("b")
-    joined = pairs.join(a, (pairs["block"] == a["a_block"]) & (pairs["a_key"] == a["a_key"])).drop(a["a_key"]).join(b, (pairs["block"] == b["b_block"]) & (pairs["b_key"] == b["b_key"])).drop(b["b_key"])
-    return joined.where(same_subject("a", "b", generic)).select("block", F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+    ordered = each.join(counts, ["block", "stem"]).groupBy("block", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("in_block", "stem"))), lambda s: s["stem"]).alias("stems"))
+    need = lambda n: F.greatest(F.ceil(n / 2), F.least(n, F.lit(2))).cast("int")
+    n = F.size("stems")
+    probe = ordered.select("block", F.col("key").alias("p"), F.col("stems").alias("sp"), n.alias("np"), F.explode(F.slice("stems", F.lit(1), n - need(n) + 1)).alias("stem"))
+    index = ordered.select("block", F.col("key").alias("q"), F.col("stems").alias("sq"), n.alias("nq"), F.posexplode("stems").alias("at", "stem"))
+    shorter = (F.col("np") < F.col("nq")) | ((F.col("np") == F.col("nq")) & (F.col("p") < F.col("q")))
+    met = probe.join(index, ["block", "stem"]).where(shorter & (F.col("at") <= F.col("nq") - need(F.col("np"))))
+    both = F.array_intersect("sp", "sq")
+    same, loose = same_subject(both, F.col("np"), F.col("nq"), generic)
+    met = met.where(F.get(both, F.lit(0)) == F.col("stem")).select("block", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), same.alias("same"), loose.alias("loose"))
+    met = checkpoint(met.where(F.col("same") | F.col("loose")))
+    side = lambda name: usable.select("block", F.col("key").alias(name), F.col("grams").alias(f"grams_{name}"))
+    close = met.where(~F.col("same")).join(side("a"), ["block", "a"]).join(side("b"), ["block", "b"]).where(T.dice(F.col("grams_a"), F.col("grams_b")) >= DICE)
+    return met.where("same").select("block", "a", "b").unionByName(close.select("block", "a", "b"))
 
 
 def founders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import checkpoint
+
 TARGET = "fr"
 
 
@@ -101,7 +103,8 @@ def translate_texts(texts: DataFrame, by: Provider, cache: DataFrame | None = No
     """(language, text, translated, state) of the distinct texts to translate, and new cache rows (key, value).
 
     state: cache, translated, or the error's message, with the original as translation. Misses go out in batches
-    of the provider's size, languages apart; a failing batch fails alone. Texts of many rows are translated once.
+    of the provider's size, languages apart; a failing batch fails alone. Texts of many rows are translated once, and the
+    answers are written down at once, so that a service is asked once however often the results are read.
     """
     wanted = texts.where(needs_translation(F.col("language")) & (F.trim("text") != "")).select(primary(F.col("language")).alias("language"), "text").distinct()
     wanted = wanted.withColumn("key", cache_key(by.name, F.col("language"), F.col("text")))
@@ -125,6 +128,7 @@ def translate_texts(texts: DataFrame, by: Provider, cache: DataFrame | None = No
 
     misses = probed.where(F.col("value").isNull()).select("language", "text", "key")
     done = (misses.repartition(partitions) if partitions else misses).mapInPandas(run, "language string, text string, translated string, state string, key string")
+    done = checkpoint(done)
     out = hit.unionByName(done)
     return out.drop("key"), done.where(F.col("state") == "translated").select("key", F.col("translated").alias("value"))
 
@@ -139,6 +143,6 @@ def translate_articles(articles: DataFrame, by: Provider, cache: DataFrame | Non
     found = found.select(F.col("language").alias("l_"), F.col("text").alias("t_"), F.col("translated").alias("new_"))
     for c in ("title", "summary"):
         mine = found
-        rows = rows.join(mine, (primary(F.col("language")) == F.col("l_")) & (F.col(c) == F.col("t_")), "left").withColumn(c, F.coalesce("new_", F.col(c))).drop("l_", "t_", "new_")
+        rows = rows.join(mine, (primary(F.col("language")) == F.col("l_")) & (F.col(c) == F.col("t_")), "left").withColumn(c, F.coalesce(F.nullif("new_", F.lit("")), F.col(c))).drop("l_", "t_", "new_")
     changed = ~(F.col("title").eqNullSafe(F.col("title_original")) & F.col("summary").eqNullSafe(F.col("summary_original")))
     return rows.withColumn("translated", changed)
