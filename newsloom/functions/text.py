@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def _accents() -> tuple[str, str]:
     return "".join(a for a, _ in found) + "".join(map(chr, range(0x300, 0x370))), "".join(b for _, b in found)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it: a plain column would be worked out at each place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _code_point(number: Column, whole: Column) -> Column:
     valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(63).cast("long"))), 8, "0")), "UTF-32")).otherwise(whole)
@@ -54,7 +60,6 @@ def _code_point(number: Column, whole: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named, decimal and hexadecimal entities in one pass; what is unknown or out of range stays. Null gives an empty text."""
-    text = F.coalesce(text, F.lit(""))
     pattern = "&(?:#[xX][0-9A-Fa-f]{1,8}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);"
     table = F.create_map(*(F.lit(x) for pair in entity_table().items() for x in pair))
 
@@ -65,9 +70,12 @@ def decode_entities(text: Column) -> Column:
         hexa = F.conv(F.substring(name, 3, 8), 16, 10).try_cast("long")
         return F.when(F.lower(name).startswith("#x"), _code_point(hexa, m)).when(name.startswith("#"), _code_point(F.substring(name, 2, 9).try_cast("long"), m)).otherwise(named)
 
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    joined = F.array_join(F.zip_with(pieces, F.transform(found, one), lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    def whole(text: Column) -> Column:
+        pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        joined = F.array_join(F.zip_with(pieces, F.transform(found, one), lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
+        return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+    return bound(F.coalesce(text, F.lit("")), whole)
 
 
 def strip_tags(html: Column) -> Column:
@@ -91,11 +99,14 @@ def html_to_text(html: Column) -> Column:
 
 def excerpt(text: Column, most: int = 320) -> Column:
     """At most so many characters, cut at the last space if that lies in the last 40 per cent, with an ellipsis."""
-    clean = collapse(text)
-    cut = F.substring(clean, 1, most)
-    at = F.length(cut) - F.locate(" ", F.reverse(cut))  # characters before the last space
-    words = F.when(F.contains(cut, F.lit(" ")) & (at > most * 0.6), F.substring(cut, F.lit(1), at)).otherwise(cut)
-    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.regexp_replace(words, r"[\s,;:.!?…-]+$", ""), F.lit("…")))
+
+    def cut_at_space(clean: Column) -> Column:
+        cut = F.substring(clean, 1, most)
+        at = F.length(cut) - F.locate(" ", F.reverse(cut))  # characters before the last space
+        words = F.when(F.contains(cut, F.lit(" ")) & (at > most * 0.6), F.substring(cut, F.lit(1), at)).otherwise(cut)
+        return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.regexp_replace(words, r"[\s,;:.!?…-]+$", ""), F.lit("…")))
+
+    return bound(collapse(text), cut_at_space)
 
 
 def deaccent(text: Column) -> Column:
@@ -125,8 +136,7 @@ def trigrams(title: Column) -> Column:
     """Distinct runs of three characters of the normal title between two spaces."""
     none = F.array().cast("array<string>")
     runs = lambda p: F.when(F.length(p) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - 2, F.lit(1))), lambda i: F.substring(p, i, F.lit(3)))).otherwise(none)
-    # the title is made normal once for all places, as a variable of the outer transform
-    return F.array_distinct(F.get(F.transform(F.array(F.concat(F.lit(" "), normalize_title(title), F.lit(" "))), runs), F.lit(0)))
+    return F.array_distinct(bound(F.concat(F.lit(" "), normalize_title(title), F.lit(" ")), runs))
 
 
 def shared(a: Column, b: Column) -> Column:

@@ -418,3 +418,127 @@ def parsed_feed_items(spark, sf):
 
 
 SQL["parsed_feed_items"] = f"WITH {_A} SELECT doc_id, 1::BIGINT AS n, {_collapse('title')} AS title, 'https://x.example/' || doc_id AS link FROM a"
+
+
+# -- texts, dates and feeds in their variants ------------------------------------------------------------------------
+
+
+@query(f"WITH {_A}, x AS (SELECT doc_id, regexp_replace(left(trim(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '-'), 60), '-+$', '') AS slug FROM a) SELECT doc_id, CASE WHEN slug = '' THEN 'sans-titre' ELSE slug END AS slug FROM x")
+def slugs(spark, sf):
+    return _articles(spark, sf).select("doc_id", T.slugify(F.col("title")).alias("slug"))
+
+
+@query(rf"WITH {_A} SELECT doc_id, regexp_replace('[' || source || '](' || lang || ') *' || text || '*', '([\\`*_\[\]<>])', '\\\1', 'g') AS markdown FROM a")
+def markdown_escapes(spark, sf):
+    shown = F.concat(F.lit("["), F.col("source"), F.lit("]("), F.col("lang"), F.lit(") *"), F.col("text"), F.lit("*"))
+    return _articles(spark, sf).select("doc_id", T.escape_markdown(shown).alias("markdown"))
+
+
+@query("""WITH x AS (SELECT event_id, event_id % 6 AS k, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)
+SELECT event_id, CASE k WHEN 0 THEN s - 7200 WHEN 1 THEN s WHEN 2 THEN s WHEN 3 THEN s - s % 86400 WHEN 4 THEN s + 18000 ELSE -1 END AS seconds FROM x""")
+def parsed_dates(spark, sf):
+    """Times written in six ways and read again: with an offset, in GMT, as ISO, as a day, with a remark, and unreadable."""
+    forms = ("EEE, dd MMM yyyy HH:mm:ss '+0200'", "EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyy-MM-dd'T'HH:mm:ss'Z'", "d MMM yyyy", "dd MMM yyyy HH:mm:ss '-0500 (EST)'")
+    e, ts = _table(spark, sf, "events"), F.col("ts").cast("timestamp")
+    shown = F.lit("n'importe quoi")
+    for k, form in enumerate(forms):
+        shown = F.when(F.col("event_id") % 6 == k, F.date_format(ts, form)).otherwise(shown)
+    return e.select("event_id", F.coalesce(F.unix_seconds(D.parse_date(shown)), F.lit(-1)).alias("seconds"))
+
+
+def _variants(spark, sf):
+    """Documents as feeds of the three formats: texts in CDATA and escaped, links as attribute, text and guid."""
+    a, i = _articles(spark, sf), F.col("doc_id").cast("string")
+    title, text, source, lang = (T.escape_html(F.col(c)) for c in ("title", "text", "source", "lang"))
+    c = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    atom = c('<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>t</title><entry><title type="html"><![CDATA[', title, ']]></title><link rel="self" href="https://x.example/self"/><link href="https://x.example/', i, '"/><author><name>', source, '</name></author><category term="', lang, '"></category><published>2024-01-02T03:04:05Z</published><summary>', text, '</summary><media:content url="https://x.example/', i, '" medium="image"/></entry></feed>')
+    rdf = c('<rdf:RDF><channel><title>t</title></channel><item rdf:about="u"><title>', title, "</title><link>https://x.example/", i, "</link><dc:creator>", source, "</dc:creator><dc:date>2024-01-02</dc:date><description>", text, '</description><media:thumbnail url="https://x.example/', i, ".png?w=1\"/></item></rdf:RDF>")
+    rss = c("<rss><channel><title>t</title><item><title>", title, "</title><guid>https://x.example/", i, "</guid><author>who@x.example (", source, ")</author><category><![CDATA[", lang, "]]></category><category>", lang, '</category><pubDate>Tue, 02 Jan 2024 03:04:05 GMT</pubDate><enclosure url="https://x.example/', i, '.mp3" length="7" type="audio/mpeg"/><content:encoded><![CDATA[<p>', text, '</p><img src="https://x.example/', i, ".jpg\">]]></content:encoded></item></channel></rss>")
+    kind = F.col("doc_id") % 3
+    return a.withColumn("body", F.when(kind == 0, atom).when(kind == 1, rdf).otherwise(rss))
+
+
+@query(f"""WITH {_A}, x AS (SELECT doc_id, doc_id % 3 AS k, 'https://x.example/' || doc_id AS link, title, text, source, lang FROM a)
+SELECT doc_id, ['atom', 'rdf', 'rss'][k + 1] AS format, {_collapse('title')} AS title, link, {_collapse('source')} AS author, CASE k WHEN 0 THEN link WHEN 1 THEN link || '.png?w=1' ELSE link || '.jpg' END AS image,
+  CASE WHEN k = 2 THEN link || '.mp3 audio/mpeg 7' END AS audio, CASE WHEN k = 1 THEN '' ELSE lang END AS categories, CASE k WHEN 1 THEN 1704153600 ELSE 1704164645 END::BIGINT AS published, {_collapse('text')} AS summary FROM x""")
+def feed_variants(spark, sf):
+    parsed = feeds.parse_feeds(_variants(spark, sf)).select("doc_id", "format", F.get("items", 0).alias("i"))
+    audio = F.when(F.col("i.audio").isNotNull(), F.concat_ws(" ", "i.audio.url", "i.audio.type", "i.audio.length"))
+    return parsed.select("doc_id", "format", "i.title", "i.link", "i.author", "i.image", audio.alias("audio"), F.array_join("i.categories", "|").alias("categories"), F.unix_seconds(D.parse_date(F.col("i.published_raw"))).alias("published"), "i.summary")
+
+
+@query(f"""WITH {_A}, x AS (SELECT doc_id, {_collapse('title')} AS t, 'https://x.example/' || doc_id AS guid, {_collapse('text')} AS clean, left({_collapse('text')}, 400) AS cut, doc_id % 2 = 0 AS search FROM a),
+y AS (SELECT *, length(cut) - strpos(reverse(cut), ' ') AS cut_at FROM x)
+SELECT doc_id, 'f::' || guid AS id, CASE WHEN t = '' THEN '(sans titre)' ELSE t END AS title, guid AS canonical, CASE WHEN search THEN 'Paper' ELSE 'Feed' END AS publisher,
+  CASE WHEN search AND length(clean) <= 160 THEN '' WHEN length(clean) <= 400 THEN clean ELSE regexp_replace(CASE WHEN contains(cut, ' ') AND cut_at > 240 THEN left(cut, cut_at) ELSE cut END, '[\\s,;:.!?…-]+$', '') || '…' END AS summary FROM y""")
+def feed_articles(spark, sf):
+    """Items of searches, which name their publisher in the title, and of other feeds, as articles."""
+    a, search = _articles(spark, sf), F.col("doc_id") % 2 == 0
+    title = F.when(search, F.concat(T.escape_html(F.col("title")), F.lit(" - Paper"))).otherwise(T.escape_html(F.col("title")))
+    body = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>https://x.example/"), F.col("doc_id").cast("string"), F.lit("</link><source>Paper</source><description>"), T.escape_html(F.col("text")), F.lit("</description></item></channel></rss>"))
+    none = {c: F.lit(None).cast("string") for c in ("country", "forced_type", "profile", "feed_language")}
+    raw = a.select(F.col("doc_id").alias("feed_ord"), F.lit("f").alias("feed_id"), F.lit("Feed").alias("feed_name"), F.when(search, "google-news").otherwise("media").alias("origin"), "weight", body.alias("body")).withColumns(none)
+    return feeds.articles(feeds.parse_feeds(raw)).select(F.col("ord.feed_ord").alias("doc_id"), "id", "title", "canonical", "publisher", "summary")
+
+
+@query(f"""WITH {_A}, x AS (SELECT a.*, 'v' || (doc_id // 2) AS guid, CASE doc_id % 3 WHEN 0 THEN '2024-01-09' WHEN 1 THEN '2024-01' ELSE '2024' END AS shown FROM a), y AS (SELECT * FROM x WHERE doc_id % 3 <> 2 AND doc_id % 5 <> 0)
+SELECT guid, min(doc_id) AS doc_id, 'google-books::' || guid AS id, arg_min({_collapse('source')} || ' — ' || lang, doc_id) AS title, arg_min(CASE WHEN doc_id % 3 = 0 THEN 'jour' ELSE 'mois' END, doc_id) AS precision, arg_min('A, ' || source, doc_id) AS author, arg_min('https://i.example/' || doc_id, doc_id) AS image FROM y GROUP BY guid""")
+def book_volumes(spark, sf):
+    """Documents as catalogue answers of one volume each, two for most volumes; those without a link or outside the window go."""
+    i = F.col("doc_id")
+    info = F.struct(F.col("source").alias("title"), F.col("lang").alias("subtitle"), F.array(F.lit("A"), F.col("source")).alias("authors"), F.when(i % 3 == 0, "2024-01-09").when(i % 3 == 1, "2024-01").otherwise("2024").alias("publishedDate"), F.col("text").alias("description"), F.when(i % 5 != 0, F.concat(F.lit("https://b.example/"), i)).alias("infoLink"), F.struct(F.concat(F.lit("http://i.example/"), i).alias("thumbnail")).alias("imageLinks"))
+    body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("v"), F.floor(i / 2)).alias("id"), info.alias("volumeInfo"))).alias("items")))
+    answers = _articles(spark, sf).select(i.alias("ord"), F.lit("q").alias("query"), F.lit("fr").alias("language"), body.alias("body"))
+    found = books.volumes(answers, F.lit("2024-01-07").cast("timestamp"), F.lit("2024-01-14").cast("timestamp"))
+    return found.select("guid", F.col("ord.ord").alias("doc_id"), "id", "title", F.col("date_precision").alias("precision"), "author", "image")
+
+
+@query(f"""WITH {_TYPES}, z AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'podcast' ELSE type END AS section FROM y), r AS (SELECT doc_id, section, row_number() OVER (PARTITION BY section ORDER BY score DESC, doc_id) AS place FROM z WHERE section <> 'actualite')
+SELECT section, doc_id FROM r WHERE place <= CASE section WHEN 'livre' THEN 25 WHEN 'podcast' THEN 10 ELSE 12 END""")
+def rubric_limits(spark, sf):
+    rows = rank.route(_typed(spark, sf).withColumns({"ord": F.col("doc_id"), "country": F.lit(None).cast("string")}))
+    out = [rank.rubric(rows, name).select("section", "doc_id") for name in rank.RUBRICS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"WITH RECURSIVE {_A}, {_PRINTS}, {_CLUSTERS}, {_MEMBERS}, q AS (SELECT cluster, source, min(place) AS place FROM m GROUP BY cluster, source), l AS (SELECT cluster, list(source ORDER BY place) AS s FROM q GROUP BY cluster) SELECT m.cluster, floor(m.score * 100 + 0.5) / 100 AS score, array_to_string(list_slice(s, 2, 7), '|') AS reprises, CAST(len(s) - 1 AS BIGINT) AS n_reprises, strftime(date, '%Y-%m-%dT%H:%M:%S.000Z') AS date_iso, CASE WHEN date IS NOT NULL THEN 'jour' END AS date_precision FROM m JOIN l USING (cluster) WHERE place = 1")
+def published_entries(spark, sf):
+    out = rank.published_entry(dedupe.representatives(_members(spark, sf)))
+    return out.select(F.col("cluster.ord").alias("cluster"), "score", F.array_join("reprises", "|").alias("reprises"), "n_reprises", "date_iso", "date_precision")
+
+
+@query(f"WITH {_A} SELECT source, min(doc_id) AS ord FROM a WHERE doc_id % 4 <> 0 GROUP BY source")
+def distinct_errors(spark, sf):
+    rows = _articles(spark, sf).select(F.when(F.col("doc_id") % 4 != 0, F.col("source")).alias("source"), F.col("doc_id").alias("ord"))
+    return report.ordered_distinct(rows, "source")
+
+
+@query("SELECT 'active' AS asked, n_nationkey AS code FROM nation WHERE n_nationkey % 3 <> 0 UNION ALL SELECT 'listed', n_nationkey FROM nation WHERE n_name IN ('FRANCE', 'CHINA')")
+def wanted_countries(spark, sf):
+    n = _table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("code"), F.when(F.col("n_nationkey") % 3 == 0, False).alias("active"))
+    show = lambda kind, rows: rows.select(F.lit(kind).alias("asked"), F.col("key").alias("code"))
+    return show("active", plan.wanted_countries(n)).unionByName(show("listed", plan.wanted_countries(n, [" france", "China "])))
+
+
+@query("""WITH c AS (SELECT n_nationkey AS k, n_name AS name FROM nation WHERE n_nationkey % 3 <> 0),
+g AS (SELECT 'gn-' || lower(name) || '-' || l || '-' || p AS feed_id, 'https://news.google.com/rss/search?q=%28' || CASE l WHEN 'en' THEN 'news' ELSE '%22une+info%22' END || '%29' || CASE p WHEN 'culture' THEN '+%28' || CASE l WHEN 'en' THEN 'art' ELSE 'livre' END || '%29' ELSE '' END || '+when%3A7d&hl=' || l || '&gl=' || k || '&ceid=' || k || '%3A' || l AS url, 1.5 + k % 2 AS weight, name AS country FROM c, (SELECT unnest(['en', 'fr']) AS l), (SELECT unnest(['actualite', 'culture']) AS p)),
+m AS (SELECT 'm' || (k % 5) AS feed_id, 'https://m.example/' || (k % 5) AS url, 1.0 + k AS weight, name AS country, row_number() OVER (PARTITION BY k % 5 ORDER BY k DESC) AS place FROM c)
+SELECT feed_id, url, CAST(weight AS DOUBLE) AS weight, country FROM g UNION ALL SELECT feed_id, url, CAST(weight AS DOUBLE), country FROM m WHERE place = 1""")
+def country_feed_plan(spark, sf):
+    """Searches of two editions and profiles for each active country, and a medium that several countries list: the weightiest stays."""
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    edition = lambda l: F.struct(F.lit(l).alias("language"), F.lit(l).alias("hl"), k.cast("string").alias("gl"), F.concat(k.cast("string"), F.lit(f":{l}")).alias("ceid"))
+    medium = F.struct(F.concat(F.lit("m"), k % 5).alias("id"), F.lit("M").alias("name"), F.concat(F.lit("https://m.example/"), k % 5).alias("url"), F.lit("en").alias("language"), (1.0 + k).cast("double").alias("weight"), F.lit(None).cast("string").alias("type"), F.lit(True).alias("active"))
+    n = _table(spark, sf, "nation").select(k.alias("ord"), name.alias("code"), name.alias("name"), F.lit("r").alias("region"), (1.5 + k % 2).cast("double").alias("weight"), (k % 3 != 0).alias("active"), F.array(edition("en"), edition("fr")).alias("editions"), F.array(medium).alias("media"))
+    words = spark.createDataFrame([("en", ["news"], ["hate"], ["art"], ["book"]), ("fr", ["une info"], ["haine"], ["livre"], ["roman"])], "language string, core array<string>, hostile array<string>, culture array<string>, books array<string>")
+    return plan.feed_plan(plan.country_feeds(n, words, ["actualite", "culture"], 7)).select("feed_id", "url", "weight", "country")
+
+
+@query(f"WITH {_A}, x AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'echec' WHEN doc_id % 5 = 1 THEN 'inchange' ELSE 'ok' END AS state FROM a) SELECT doc_id, state, CASE state WHEN 'echec' THEN 'old' ELSE 'new' END AS body FROM x WHERE doc_id % 5 <> 0 OR doc_id % 2 = 0")
+def cache_refresh(spark, sf):
+    """Landed answers over a cache that holds every other document: failures leave the old body."""
+    d, i = _articles(spark, sf).withColumn("url", F.col("doc_id").cast("string")), F.col("doc_id")
+    none, at = F.lit(None).cast("string"), F.lit("2024-01-01").cast("timestamp")
+    cache = d.where(i % 2 == 0).select("url", none.alias("etag"), none.alias("last_modified"), F.lit("old").alias("body"), at.alias("fetched_at"))
+    landed = landing.status_of(d.select("doc_id", "url", F.when(i % 5 == 1, 304).otherwise(200).alias("status"), F.when(i % 5 == 0, "timeout").alias("error"), none.alias("etag"), none.alias("last_modified"), F.lit("new").alias("body"), at.alias("fetched_at")))
+    return landed.select("doc_id", "url", "state").join(landing.refreshed(cache, landed).select("url", "body"), "url").select("doc_id", "state", "body")

@@ -13,7 +13,7 @@ from ..functions.urls import canonical_url, hostname
 
 _PREFIX = r"(?:[A-Za-z0-9_.-]+:)?"
 _HTTP = r"(?i)^https?://"
-_NO_TEXT = "array<string>"
+_VISIBLE = "[^" + T.SPACES[1:-2] + "]"
 
 
 def _name(name: str) -> str:
@@ -30,16 +30,15 @@ def _unwrapped(value: Column) -> Column:
 
 def raw(block: Column, *names: str) -> Column:
     """Content of the first element with one of the names, by any prefix. A self-closing one ends the search with an empty text."""
-    out = F.lit(None).cast("string")
-    for name in reversed(names):
-        body = _unwrapped(F.regexp_extract(block, _element(name), 2))
-        closed = block.rlike(rf"(?i)<{_name(name)}(\s[^>]*)?/>")
-        out = F.when(T.collapse(body) != "", body).when(closed, F.lit("")).otherwise(out)
-    return out
+    if not names:
+        return F.lit(None).cast("string")
+    closed, rest = block.rlike(rf"(?i)<{_name(names[0])}(\s[^>]*)?/>"), raw(block, *names[1:])
+    found = _unwrapped(F.regexp_extract(block, _element(names[0]), 2))
+    return T.bound(found, lambda body: F.when(F.regexp_like(body, F.lit(_VISIBLE)), body).when(closed, F.lit("")).otherwise(rest))
 
 
 def text_of(block: Column, *names: str) -> Column:
-    return T.collapse(T.decode_entities(raw(block, *names))) if len(names) == 0 else F.when(raw(block, *names).isNotNull(), T.collapse(T.decode_entities(raw(block, *names))))
+    return T.bound(raw(block, *names), lambda body: F.when(body.isNotNull(), T.collapse(T.decode_entities(body))))
 
 
 def tags(block: Column, name: str) -> Column:
@@ -122,8 +121,10 @@ def parse_feeds(feeds: DataFrame, body: str = "body") -> DataFrame:
     head = F.regexp_replace("text_", rf"(?is)<{_PREFIX}(?:item|entry)[\s>].*$", "")
 
     def item(block: Column) -> Column:
-        content = F.coalesce(F.when(raw(block, "content:encoded") != "", raw(block, "content:encoded")), raw(block, "content"))
-        summary = raw(block, "description", "summary", "subtitle")
+        content = T.bound(raw(block, "content:encoded"), lambda c: F.when(c != "", c).otherwise(raw(block, "content")))
+        return T.bound(F.struct(raw(block, "description", "summary", "subtitle").alias("summary"), content.alias("content")), lambda t: entry_of(block, t["summary"], t["content"]))
+
+    def entry_of(block: Column, summary: Column, content: Column) -> Column:
         names = {"title": T.html_to_text(raw(block, "title")), "link": link_of(block), "guid": text_of(block, "guid", "id"), "published_raw": text_of(block, "pubDate", "published", "dc:date", "date"), "updated_raw": text_of(block, "updated", "modified"), "author": author_of(block), "summary_html": summary, "summary": T.html_to_text(F.coalesce(summary, content)), "content_html": content, "content": T.html_to_text(content), "categories": categories_of(block), "image": image_of(block, F.coalesce(content, summary)), "audio": audio_of(block), "source": text_of(block, "source")}
         return F.struct(*(c.alias(k) for k, c in names.items()))
 
