@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, lm_scoring, packing, pii, sentencepiece_viterbi, simhash, substring_dedup, suffix_dedup, token_output, topk_search, toxicity
+from . import conversations, decontaminate, hard_negatives, lm_scoring, packing, pii, sentencepiece_viterbi, simhash, substring_dedup, suffix_dedup, token_output, topk_search, toxicity
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_viterbi.op1_sentencepiece,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_context_tree_scoring": lm_scoring.op8_context_tree_scoring,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_wavelet_tokens": token_output.op10_wavelet_tokens,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
-SQL: dict[str, str] = {"op4_topk_search": topk_search.SQL}
+SQL: dict[str, str] = {"op4_topk_search": topk_search.SQL, "op11_hard_negatives": hard_negatives.SQL}
