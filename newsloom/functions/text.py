@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 from collections.abc import Callable
 
@@ -53,38 +54,77 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _code_point(number: Column, whole: Column) -> Column:
-    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(F.lit(63).cast("long"))), 8, "0")), "UTF-32")).otherwise(whole)
+# -- expressions as SQL text: the large ones, which take seconds to put together call by call -------------------------
 
 
-def decode_entities(text: Column) -> Column:
-    """Named, decimal and hexadecimal entities in one pass; what is unknown or out of range stays. Null gives an empty text."""
-    pattern = "&(?:#[xX][0-9A-Fa-f]{1,8}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);"
-    table = F.create_map(*(F.lit(x) for pair in entity_table().items() for x in pair))
+def quoted(text: str) -> str:
+    """A raw SQL string."""
+    if "'" in text and '"' in text:
+        return "concat(" + """, "'", """.join(f"r'{part}'" for part in text.split("'")) + ")"
+    return f"r'{text}'" if "'" not in text else f'r"{text}"'
+
+
+def let(name: str, value: str, body: str) -> str:
+    """``body``, in which ``name`` stands for a value that is worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def applied(column: Column, body: Callable[[str], str]) -> Column:
+    """SQL text over a column of any kind."""
+    return F.get(F.call_function("transform", F.array(column), F.expr(f"t_ -> {body('t_')}")), F.lit(0))
+
+
+@functools.cache
+def _decoded(text: str) -> str:
+    pattern = quoted("&(?:#[xX][0-9A-Fa-f]{1,8}|#[0-9]{1,9}|[A-Za-z][A-Za-z0-9]*);")
+    table = f"from_json({quoted(json.dumps(entity_table()).replace(chr(39), chr(92) + 'u0027'))}, 'map<string,string>')"
+    name = "substring(m_, 2, length(m_) - 2)"
+
+    def code_point(number: str) -> str:
+        valid = "n_ BETWEEN 1 AND 1114111 AND n_ NOT BETWEEN 55296 AND 57343"
+        return let("n_", number, f"CASE WHEN {valid} THEN decode(unhex(lpad(hex(n_), 8, '0')), 'UTF-32') ELSE m_ END")
+
+    hexadecimal, decimal = (f"try_cast({x} AS BIGINT)" for x in ("conv(substring(m_, 4, length(m_) - 4), 16, 10)", "substring(m_, 3, length(m_) - 3)"))
+    named = let("e_", name, f"coalesce(try_element_at({table}, e_), CASE WHEN e_ = upper(e_) THEN try_element_at({table}, lower(e_)) END, m_)")
+    one = f"CASE WHEN startswith(lower(m_), '&#x') THEN {code_point(hexadecimal)} WHEN startswith(m_, '&#') THEN {code_point(decimal)} ELSE {named} END"
+    joined = f"array_join(zip_with(split({text}, {pattern}, -1), transform(regexp_extract_all({text}, {pattern}, 0), m_ -> {one}), (p_, d_) -> concat(p_, coalesce(d_, ''))), '')"
+    # texts whose only entities are those of escaped markup, which most are, need plain replacements; the ampersand comes last
+    plain = text
+    for entity in ("lt", "gt", "quot", "#39", "amp"):
+        plain = f"replace({plain}, '&{entity};', {quoted(ENTITIES.get(entity, chr(39)))})"
+    return f"CASE WHEN NOT contains({text}, '&') THEN {text} WHEN {text} RLIKE {quoted('&(?!(?:lt|gt|quot|#39|amp);)[#A-Za-z]')} THEN {joined} ELSE {plain} END"
 
-    def one(m: Column) -> Column:
-        name = F.substring(m, 2, 40)
-        name = F.substring(name, F.lit(1), F.length(name) - 1)
-        named = F.coalesce(F.try_element_at(table, name), F.when(name == F.upper(name), F.try_element_at(table, F.lower(name))), m)
-        hexa = F.conv(F.substring(name, 3, 8), 16, 10).try_cast("long")
-        return F.when(F.lower(name).startswith("#x"), _code_point(hexa, m)).when(name.startswith("#"), _code_point(F.substring(name, 2, 9).try_cast("long"), m)).otherwise(named)
 
-    def whole(text: Column) -> Column:
-        pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        joined = F.array_join(F.zip_with(pieces, F.transform(found, one), lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), "")
-        return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+def sql_decoded(text: str) -> str:
+    return let("x_", f"coalesce({text}, '')", _decoded("x_"))
 
-    return bound(F.coalesce(text, F.lit("")), whole)
+
+def sql_stripped(text: str) -> str:
+    out = "h_"
+    for pattern, to in ((r"(?is)<(script|style)\b.*?</\1>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)<br\s*/?>", " "), (r"(?i)</(?:p|div|li|h[1-6]|tr|blockquote)>", " "), (r"<[^>]*>", "")):
+        out = f"regexp_replace({out}, {quoted(pattern)}, '{to}')"
+    return let("h_", f"coalesce({text}, '')", f"CASE WHEN contains(h_, '<') THEN {out} ELSE h_ END")
+
+
+def sql_collapsed(text: str) -> str:
+    return f"trim(regexp_replace(coalesce({text}, ''), {quoted(SPACES)}, ' '))"
+
+
+def sql_text(html: str) -> str:
+    return sql_collapsed(sql_decoded(sql_stripped(sql_decoded(html))))
+
+
+# -- text ----------------------------------------------------------------------------------------------------------
+
+
+def decode_entities(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities in one pass; what is unknown or out of range stays. Null gives an empty text."""
+    return applied(text, sql_decoded)
 
 
 def strip_tags(html: Column) -> Column:
     """Scripts, styles, comments, breaks and ends of blocks become spaces; other tags vanish."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", " ")
-    out = F.regexp_replace(out, r"(?i)</(?:p|div|li|h[1-6]|tr|blockquote)>", " ")
-    return F.regexp_replace(out, r"<[^>]*>", "")
+    return applied(html, sql_stripped)
 
 
 def collapse(text: Column) -> Column:
@@ -94,7 +134,7 @@ def collapse(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Decode, strip, decode again, collapse."""
-    return collapse(decode_entities(strip_tags(decode_entities(html))))
+    return applied(html, sql_text)
 
 
 def excerpt(text: Column, most: int = 320) -> Column:
@@ -124,7 +164,7 @@ def normalize_title(title: Column) -> Column:
 
 
 def significant_tokens(title: Column) -> Column:
-    stop = F.array(*(F.lit(w) for w in STOPWORDS))
+    stop = F.split(F.lit(" ".join(STOPWORDS)), " ")
     return F.array_distinct(F.filter(F.split(normalize_title(title), " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
 
 

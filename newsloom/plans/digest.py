@@ -27,9 +27,7 @@ class Options:
 def annotated(articles: DataFrame, analyzer: Analyzer, options: Options) -> DataFrame:
     """In the window, with link, relevance, motifs, type and tags; irrelevant ones are gone."""
     inside = articles.where((F.coalesce("link", F.lit("")) != "") & D.within(F.col("date"), F.lit(options.window.start), F.lit(options.window.end)))
-    title, summary, language = F.col("title"), F.col("summary"), F.col("language")
-    rows = inside.withColumn("r_", analyzer.relevance(title, summary, F.col("categories"), language)).withColumns({"relevance": F.col("r_.score"), "motifs": F.col("r_.motifs"), "type": analyzer.content_type(title, summary, F.col("forced_type"), F.col("audio").isNotNull()), "tags": analyzer.tags(title, summary, language)}).drop("r_")
-    return report.needed_relevance(rows, options.least_relevance)
+    return report.needed_relevance(analyzer.annotated(inside), options.least_relevance)
 
 
 def stories(rows: DataFrame, analyzer: Analyzer, options: Options) -> DataFrame:

@@ -14,6 +14,7 @@ from .functions import lexicon as L
 from .functions import text as T
 from .functions import urls as U
 from .operators import dedupe, rank, report, translate
+from .runtime import spread
 from .sources import books, feeds, landing, plan
 
 QUERIES: dict = {}
@@ -39,7 +40,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
-    d, i = _table(spark, sf, "documents"), F.col("doc_id")
+    d, i = spread(_table(spark, sf, "documents")), F.col("doc_id")
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
     return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.array_join(F.slice(words, 1, 12), " ").alias("title"), (i % 25).alias("country"), (1 + i % 3).cast("double").alias("weight"), F.when(i % 7 != 0, F.timestamp_seconds(1704067200 + 3600 * (i % 700))).alias("date"), F.when(i % 4 == 0, "media").when(i % 4 == 1, "monde").otherwise("google-news").alias("origin"), (i * 37 % 101 / 10.0).cast("double").alias("score"))
 
@@ -99,7 +100,7 @@ _SCORE = "1.2 * least(score, 12.0) + 1.5 * weight + 1.6 * least(size - 1, 4) + 2
 
 @query(f"SELECT page_id, {_collapse(_decode(_strip(_decode('html'))))} AS text FROM pages")
 def html_to_text(spark, sf):
-    return _table(spark, sf, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+    return spread(_table(spark, sf, "pages")).select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
 _URLS = rf"""u AS (SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,
@@ -204,10 +205,19 @@ def book_precision_window(spark, sf):
 # -- relevance ------------------------------------------------------------------------------------------------------
 
 
-def _sql_hits(tokens: str, words, roots=()) -> str:
+def _sql_known(words, roots=()) -> str:
+    """Whether the token ``t`` belongs to a group."""
     plain, starts = _list(sorted({L.folded(w) for w in words})), [L.folded(r) for r in roots]
-    either = [f"list_contains({plain}, t)"] + [rf"regexp_full_match(t, '{r}\p{{L}}{{0,6}}')" for r in starts]
-    return f"len(list_distinct(list_filter({tokens}, lambda t: {' OR '.join(either)})))"
+    return " OR ".join([f"list_contains({plain}, t)"] + [rf"regexp_full_match(t, '{r}\p{{L}}{{0,6}}')" for r in starts])
+
+
+def _sql_hits(tokens: str, words, roots=()) -> str:
+    return f"len(list_distinct(list_filter({tokens}, lambda t: {_sql_known(words, roots)})))"
+
+
+def _sql_found(tokens: str, words, roots=()) -> str:
+    """The distinct tokens of a group in their order."""
+    return f"list_filter({tokens}, lambda t, i: list_position({tokens}, t) = i AND ({_sql_known(words, roots)}))"
 
 
 def _sql_core(tokens: str) -> str:
@@ -238,8 +248,9 @@ def relevance_filter(spark, sf):
     return report.needed_relevance(rows).groupBy("source").agg(F.count("*").alias("n"))
 
 
-_TYPES = f"""{_A}, {_TOK}, k AS (SELECT doc_id, country, score, 2 * {_sql_hits('h', [*LEXICON.books, *L.BOOK])} + {_sql_hits('b', [*LEXICON.books, *L.BOOK])} AS book, 2 * {_sql_hits('h', L.EVENT)} + {_sql_hits('b', L.EVENT)} AS event, {_sql_hits('h', L.PODCAST)} AS cast_ FROM t),
-y AS (SELECT doc_id, country, score, CASE WHEN doc_id % 11 = 0 THEN 'podcast' WHEN cast_ > 0 THEN 'podcast' WHEN book >= 2 AND book >= event THEN 'livre' WHEN event >= 2 THEN 'evenement' ELSE 'actualite' END AS type FROM k)"""
+_KINDS = f"""typed AS (SELECT doc_id, country, score, 2 * {_sql_hits('h', [*LEXICON.books, *L.BOOK])} + {_sql_hits('b', [*LEXICON.books, *L.BOOK])} AS book, 2 * {_sql_hits('h', [*LEXICON.culture, *L.EVENT])} + {_sql_hits('b', [*LEXICON.culture, *L.EVENT])} AS event, {_sql_hits('h', L.PODCAST)} AS cast_ FROM t),
+y AS (SELECT doc_id, country, score, CASE WHEN doc_id % 11 = 0 THEN 'podcast' WHEN cast_ > 0 THEN 'podcast' WHEN book >= 2 AND book >= event THEN 'livre' WHEN event >= 2 THEN 'evenement' ELSE 'actualite' END AS type FROM typed)"""
+_TYPES = f"{_A}, {_TOK}, {_KINDS}"
 
 
 def _typed(spark, sf):
@@ -259,6 +270,31 @@ def tags(spark, sf):
     return _articles(spark, sf).select("doc_id", F.array_join(ANALYZER.tags(F.col("title"), F.col("text"), F.col("lang")), "|").alias("tags"))
 
 
+_CORE_FOUND = f"CASE WHEN lang = 'en' THEN {_sql_found('h', [*LEXICON.core, *L.WORDS], [*LEXICON.core_roots, *L.ROOTS])} WHEN lang = 'fr' THEN {_sql_found('h', ['dans', *L.WORDS], ['men', *L.ROOTS])} ELSE {_sql_found('h', L.WORDS, L.ROOTS)} END"
+
+
+@query(f"""WITH {_A}, {_TOK}, m AS (SELECT doc_id, list_concat({_CORE_FOUND}, {_sql_found('h', LEXICON.hostile, LEXICON.hostile_roots)}, {_sql_found('h', L.ISRAEL)}) AS w FROM t)
+SELECT doc_id, array_to_string(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 6), '|') AS motifs FROM m""")
+def relevance_motifs(spark, sf):
+    return _relevant(spark, sf).select("doc_id", F.array_join("r.motifs", "|").alias("motifs"))
+
+
+@query(f"WITH {_A}, {_PRINTS} SELECT s AS stem, count(*) AS n FROM (SELECT unnest(stems) AS s FROM p) WHERE s IN (SELECT strip_accents(lower(x))[1:6] FROM (SELECT unnest({_list([*LEXICON.core, *LEXICON.hostile, *LEXICON.culture, *LEXICON.books, *LEXICON.core_roots, *LEXICON.hostile_roots, 'dans', 'men'])}) AS x)) GROUP BY s")
+def generic_stems(spark, sf):
+    """How often titles hold the stems that the vocabulary calls generic, which alone make no two titles alike."""
+    stems = dedupe.fingerprints(_articles(spark, sf)).select(F.explode("stems").alias("stem"))
+    return stems.where(F.col("stem").isin(ANALYZER.generic)).groupBy("stem").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_REL}, {_KINDS}
+SELECT type, count(*) AS n, CAST(sum(relevance) AS DOUBLE) AS relevance FROM s JOIN y USING (doc_id) GROUP BY type""")
+def annotated_articles(spark, sf):
+    """Relevance, type and tags of articles from one scan of each text."""
+    none = F.lit(None).cast("string")
+    a = _articles(spark, sf).withColumns({"summary": F.col("text"), "language": F.col("lang"), "categories": F.array().cast("array<string>"), "audio": none, "forced_type": F.when(F.col("doc_id") % 11 == 0, "podcast")})
+    return ANALYZER.annotated(a).groupBy("type").agg(F.count("*").alias("n"), F.sum("relevance").alias("relevance"))
+
+
 # -- stories --------------------------------------------------------------------------------------------------------
 
 

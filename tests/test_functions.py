@@ -1,8 +1,11 @@
 """Expected values of the scalar functions."""
 
 import datetime as dt
+import random
+import unicodedata
 
 import pytest
+import regex as re_
 from pyspark.sql import functions as F
 
 from newsloom.functions import dates as D
@@ -88,3 +91,39 @@ def test_lexicon(spark):
     kind = lambda t, forced=None, audio=False: value(spark, a.content_type(F.lit(t), F.lit(""), F.lit(forced).cast("string"), F.lit(audio)))
     assert [kind("Nouveau roman"), kind("Épisode 3"), kind("Grande exposition"), kind("Rien"), kind("x", "livre"), kind("x", None, True)] == ["livre", "podcast", "evenement", "actualite", "livre", "podcast"]
     assert value(spark, a.tags(F.lit("Israel and the rabbi"), F.lit(""), F.lit("en"))) == ["Israël", "vie juive"]
+
+
+def test_dictionary_equals_expressions(spark):
+    """The dictionary finds what one alternation for each group finds, phrases and roots of several words among them."""
+    rng = random.Random(4)
+    parts = ["vie", "juive", "tel", "aviv", "art", "l'art", "livre", "livres", "roman", "synagogue", "synagogal", "żydach", "rabbi", "rabbit", "anti", "juif", "juifs", "c++", "2026", "x1", "jews", "israel", "conférence", "lecture", "series", "éditions", "podcast", "juives7", "thing", "things", "über", "ß", "a", "-", "--", "tel-aviv"]
+    vocabulary = {"fr": L.Vocabulary(core=["vie juive", "juif", "vie"], hostile=["anti-juif", "haine"], culture=["l'art", "c++"], core_roots=["juiv", "vie jui"], hostile_roots=["anti"]), "pl": L.Vocabulary(core=["żydzi"], core_roots=["żyd", "a"], books=["livre"])}
+    a = L.Analyzer(vocabulary)
+    texts = [T_ for _ in range(400) for T_ in [rng.choice([" ", "  ", ", "]).join(rng.choice(parts) for _ in range(rng.randint(0, 9)))]] + ["", "Juif-juif JUIFS", "vie  juive", "tel aviv tel", "vie juive vie"]
+    rows = spark.createDataFrame([(t, lang) for t in texts for lang in ("fr", "pl-PL", "xx", None)], "t string, lang string")
+    groups = ["hostile", "israel", "culture", "podcast", "event", "books"]
+    text = T.fold(F.col("t"))
+    got = rows.withColumn("s", a.scan(text)).select("t", "lang", *(a.hits(F.col("s"), g).alias(g) for g in groups), a.core_hits(F.col("s"), F.col("lang")).alias("core")).collect()
+    plain = lambda group: re_.compile(a.dictionary.patterns[group].replace("(?iu)", "")) if a.dictionary.patterns[group] else None
+    compiled = {g: plain(g) for g in a.dictionary.patterns}
+    for r in got:
+        folded = "".join(c for c in unicodedata.normalize("NFD", r["t"]) if not 0x300 <= ord(c) <= 0x36F).lower()
+        core = {"fr": "core:fr", "pl-PL": "core:pl", "xx": "universal", None: "fallback"}[r["lang"]]
+        for name, group in [*((g, g) for g in groups), ("core", core)]:
+            want = list(dict.fromkeys(m.group(0) for m in compiled[group].finditer(folded))) if compiled[group] else []
+            assert r[name] == want, (r["t"], name)
+
+
+def test_dictionary_bounds(spark):
+    assert value(spark, L.Analyzer({}).relevance(F.lit("Jews in a synagogue"), F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit("en")))["motifs"] == ["jews", "synagogue"]
+    assert value(spark, L.Analyzer({}).content_type(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False))) == "actualite"
+    with pytest.raises(ValueError, match="at most 54 languages"):
+        L.Analyzer({f"l{k}": L.Vocabulary() for k in range(55)})
+
+
+@pytest.mark.parametrize("title, summary, want", [("Title", "a book", 1), ("a book", "", 2), ("Exposition", "", 2), ("Soirée théâtre", "", 0)])
+def test_titles_count_double(spark, title, summary, want):
+    a = L.Analyzer({"fr": L.Vocabulary(culture=["musée"])})
+    kind = value(spark, a.content_type(F.lit(title), F.lit(summary), F.lit(None).cast("string"), F.lit(False)))
+    assert kind == ("actualite" if want < 2 else "evenement" if title == "Exposition" else "livre")
+    assert value(spark, a.content_type(F.lit("Au musée"), F.lit(""), F.lit(None).cast("string"), F.lit(False))) == "evenement"  # words of culture announce events
