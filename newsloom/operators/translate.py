@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint
+from .batches import batches
 
 TARGET = "fr"
 
@@ -99,12 +100,17 @@ def cache_key(name: str, language: Column, text: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", F.lit(name), primary(language), text)), 1, 24)
 
 
-def translate_texts(texts: DataFrame, by: Provider, cache: DataFrame | None = None, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+PARALLEL = 3  # batches under way
+_DONE = "language string, text string, translated string, state string, key string"
+
+
+def translate_texts(texts: DataFrame, by: Provider, cache: DataFrame | None = None, parallel: int = PARALLEL) -> tuple[DataFrame, DataFrame]:
     """(language, text, translated, state) of the distinct texts to translate, and new cache rows (key, value).
 
-    state: cache, translated, or the error's message, with the original as translation. Misses go out in batches
-    of the provider's size, languages apart; a failing batch fails alone. Texts of many rows are translated once, and the
-    answers are written down at once, so that a service is asked once however often the results are read.
+    state: cache, translated, or the error's message, with the original as translation. Misses go out in batches of the
+    provider's size, languages apart, all batches of a language but its last being full; so many are under way at once, and a
+    failing batch fails alone. Texts of many rows are translated once, and the answers are written down at once, so that a
+    service is asked once however often the results are read.
     """
     wanted = texts.where(needs_translation(F.col("language")) & (F.trim("text") != "")).select(primary(F.col("language")).alias("language"), "text").distinct()
     wanted = wanted.withColumn("key", cache_key(by.name, F.col("language"), F.col("text")))
@@ -114,35 +120,39 @@ def translate_texts(texts: DataFrame, by: Provider, cache: DataFrame | None = No
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for language, some in frame.groupby("language", sort=True):
-                for i in range(0, len(some), by.batch):
-                    part = some.iloc[i : i + by.batch].copy()
-                    originals = part["text"].tolist()
-                    try:
-                        out = by.translate(originals, str(language))
-                        part["translated"] = [o if x is None else x for x, o in zip(out, originals, strict=True)]
-                        part["state"] = "translated"
-                    except Exception as e:  # a batch's failure is a result, not the job's end
-                        part["translated"], part["state"] = originals, f"error: {e}"
-                    yield part[["language", "text", "translated", "state", "key"]]
-
-    misses = probed.where(F.col("value").isNull()).select("language", "text", "key")
-    done = (misses.repartition(partitions) if partitions else misses).mapInPandas(run, "language string, text string, translated string, state string, key string")
-    done = checkpoint(done)
-    out = hit.unionByName(done)
-    return out.drop("key"), done.where(F.col("state") == "translated").select("key", F.col("translated").alias("value"))
-
-
-def translate_articles(articles: DataFrame, by: Provider, cache: DataFrame | None = None) -> DataFrame:
-    """Adds title_original and summary_original, replaces title and summary, and tells by ``translated`` whether any changed."""
+            for language, rows in zip(frame["language"], frame["rows"], strict=True):
+                originals = [r["text"] for r in rows]
+                try:
+                    out = [o if x is None else x for x, o in zip(by.translate(list(originals), str(language)), originals, strict=True)]
+                    state = "translated"
+                except Exception as e:  # a batch's failure is a result, not the job's end
+                    out, state = originals, f"error: {e}"
+                yield pd.DataFrame({"language": language, "text": originals, "translated": out, "state": state, "key": [r["key"] for r in rows]})
+
+    misses = batches(probed.where(F.col("value").isNull()).select("language", "text", "key"), "language", ["text"], by.batch)
+    # a partition asks for one batch at a time, so as many are under way as there are partitions
+    done = checkpoint(misses.repartition(parallel).mapInPandas(run, _DONE))
+    return hit.unionByName(done).drop("key"), done.where(F.col("state") == "translated").select("key", F.col("translated").alias("value"))
+
+
+def translate_articles(articles: DataFrame, by: Provider, cache: DataFrame | None = None, parallel: int = PARALLEL) -> DataFrame:
+    """As ``translated_articles``, for those who keep no cache."""
+    return translated_articles(articles, by, cache, parallel)[0]
+
+
+def translated_articles(articles: DataFrame, by: Provider, cache: DataFrame | None = None, parallel: int = PARALLEL) -> tuple[DataFrame, DataFrame | None]:
+    """Adds title_original and summary_original, replaces title and summary, and tells by ``translated`` whether any changed.
+
+    The second frame holds new cache rows (key, value), for ``CacheTables.put`` or the next run; none where nothing is asked.
+    """
     rows = articles.withColumns({"title_original": F.col("title"), "summary_original": F.col("summary")})
     if by.name == "none":
-        return rows.withColumn("translated", F.lit(False))
+        return rows.withColumn("translated", F.lit(False)), None
     texts = rows.select("language", F.col("title").alias("text")).unionByName(rows.select("language", F.col("summary").alias("text")))
-    found, _ = translate_texts(texts, by, cache)
+    found, new = translate_texts(texts, by, cache, parallel)
     found = found.select(F.col("language").alias("l_"), F.col("text").alias("t_"), F.col("translated").alias("new_"))
     for c in ("title", "summary"):
         mine = found
         rows = rows.join(mine, (primary(F.col("language")) == F.col("l_")) & (F.col(c) == F.col("t_")), "left").withColumn(c, F.coalesce(F.nullif("new_", F.lit("")), F.col(c))).drop("l_", "t_", "new_")
     changed = ~(F.col("title").eqNullSafe(F.col("title_original")) & F.col("summary").eqNullSafe(F.col("summary_original")))
-    return rows.withColumn("translated", changed)
+    return rows.withColumn("translated", changed), new

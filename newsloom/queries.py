@@ -14,8 +14,10 @@ from .functions import lexicon as L
 from .functions import text as T
 from .functions import urls as U
 from .operators import dedupe, rank, report, translate
-from .runtime import spread
+from .operators.batches import batches
+from .runtime import new_path, spread
 from .sources import books, feeds, landing, plan
+from .sources.tables import CacheTables, key_of
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -578,3 +580,46 @@ def cache_refresh(spark, sf):
     cache = d.where(i % 2 == 0).select("url", none.alias("etag"), none.alias("last_modified"), F.lit("old").alias("body"), at.alias("fetched_at"))
     landed = landing.status_of(d.select("doc_id", "url", F.when(i % 5 == 1, 304).otherwise(200).alias("status"), F.when(i % 5 == 0, "timeout").alias("error"), none.alias("etag"), none.alias("last_modified"), F.lit("new").alias("body"), at.alias("fetched_at")))
     return landed.select("doc_id", "url", "state").join(landing.refreshed(cache, landed).select("url", "body"), "url").select("doc_id", "state", "body")
+
+
+# -- requests, versions, batches, calls ---------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'echec' ELSE 'ok' END AS state, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE 1 END AS attempts, CASE WHEN doc_id % 5 > 0 THEN coalesce(text, '') END AS body FROM documents")
+def landed_requests(spark, sf):
+    """Every document as an address that holds its own text, asked for like any other; one in five of a scheme that nobody answers."""
+    d, i = spread(_table(spark, sf, "documents")), F.col("doc_id")
+    data = F.concat(F.lit("data:text/plain;charset=utf-8;base64,"), F.translate(F.base64(F.coalesce("text", F.lit("")).cast("binary")), "\r\n", ""))
+    asked = d.select("doc_id", F.when(i % 5 == 0, F.concat(F.lit("nowhere://"), i)).otherwise(data).alias("url"), F.lit(0.0).alias("wait"))
+    got = landing.status_of(landing.fetched(asked, spark.sparkContext.defaultParallelism))
+    return asked.select("doc_id", "url").join(got, "url").select("doc_id", "state", "attempts", "body")
+
+
+@query("""WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS day FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0),
+v AS (SELECT 1 AS version, 'put' AS operation, doc_id, 1 AS day FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 2, 'put', doc_id, day FROM g UNION ALL SELECT 3, 'prune', doc_id, day FROM g WHERE day = 2)
+SELECT version, operation, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids, count(*) FILTER (day = 2) AS fresh FROM v GROUP BY ALL UNION ALL SELECT 4, 'clear', 0, 0, 0""")
+def cache_generations(spark, sf):
+    """Three generations of a cache, the second over half of the first, then what was fetched before the second day goes, then all."""
+    i = F.col("doc_id")
+    day = lambda n: F.lit(f"2024-01-0{n}").cast("timestamp")
+    rows = _table(spark, sf, "documents").select(key_of(F.lit("doc"), i.cast("string")).alias("key"), i, "text")
+    store = CacheTables(spark, new_path(spark, "cache"))
+    store.put("texts", rows.where(i % 2 == 0).withColumn("fetched_at", day(1)))
+    store.put("texts", rows.where(i % 3 == 0).withColumn("fetched_at", day(2)))
+    store.prune("texts", day(2))
+    store.clear("texts")
+    found = []
+    for v in store.versions("texts"):
+        old = store.read("texts", v)
+        told = rows.limit(0).withColumn("fetched_at", day(1)) if old is None else old
+        found.append(told.agg(F.count("*").alias("n"), F.coalesce(F.sum("doc_id"), F.lit(0)).alias("ids"), F.count_if(F.col("fetched_at") == day(2)).alias("fresh")).select(F.lit(v).alias("version"), F.lit(store.entry("texts", v)["operation"]).alias("operation"), "n", "ids", "fresh"))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query(f"""WITH {_A}, x AS (SELECT DISTINCT lang AS language, title AS text FROM a), n AS (SELECT *, row_number() OVER (PARTITION BY language ORDER BY text) - 1 AS nth FROM x)
+SELECT language, CAST(nth // 25 AS BIGINT) AS batch, count(*) AS n, min(text) AS first_text, max(text) AS last_text FROM n GROUP BY ALL""")
+def language_batches(spark, sf):
+    """Batches of distinct titles for a translator, numbered over the whole table in each language."""
+    titles = _articles(spark, sf).select(F.col("lang").alias("language"), F.col("title").alias("text")).distinct()
+    b = batches(titles, "language", ["text"], 25)
+    return b.select("language", "batch", F.size("rows").cast("long").alias("n"), F.get("rows", 0)["text"].alias("first_text"), F.element_at("rows", -1)["text"].alias("last_text"))

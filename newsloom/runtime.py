@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,13 +27,25 @@ def ship(spark: SparkSession) -> None:
     sc._newsloom_shipped = True
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write down and go on from there, in the cluster's shared folder; a temporary one only where none is set, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    sc = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return spark.conf.get("spark.checkpoint.dir")
+    if not sc.getCheckpointDir():
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write down and go on from there, in the cluster's shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

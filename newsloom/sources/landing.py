@@ -4,50 +4,55 @@ from __future__ import annotations
 
 import random
 import time
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Answers that are worth another try.
-RETRY = {408, 425, 429, 500, 502, 503, 504, 522, 524}
-TIMEOUT, RETRIES, BACKOFF, PARALLEL = 20.0, 2, 0.5, 8
-_LANDED = "url string, status int, body string, etag string, last_modified string, error string, fetched_at timestamp"
+from ..runtime import checkpoint
+from . import http
+
+TIMEOUT, BACKOFF, RETRIES = http.GET
+PARALLEL = http.PARALLEL
 Fetch = Callable[[str, dict[str, str], float], tuple[int, str | None, dict[str, str]]]
 
 
 def http_get(url: str, headers: dict[str, str], timeout: float) -> tuple[int, str | None, dict[str, str]]:
-    try:
-        with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=timeout) as r:
-            return r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace"), dict(r.headers)
-    except urllib.error.HTTPError as e:
-        return e.code, None, dict(e.headers)
+    return http.send(url, "GET", headers, None, timeout)[:3]
 
 
 def ask(url: str, headers: dict[str, str], fetch: Fetch = http_get, retries: int = RETRIES, timeout: float = TIMEOUT, sleep: Callable[[float], None] = time.sleep) -> dict:
     """One landed row; waits 0.5 s, 1 s, ... between tries; other refusals are final, and 304 is no error."""
-    for attempt in range(retries + 1):
-        if attempt:
-            sleep(BACKOFF * 2 ** (attempt - 1))
-        try:
-            status, body, got = fetch(url, headers, timeout)
-        except Exception as e:
-            row = {"status": None, "body": None, "error": f"{type(e).__name__}: {e}"}
-            continue
-        lower = {k.lower(): v for k, v in got.items()}
-        row = {"status": status, "body": body, "etag": lower.get("etag"), "last_modified": lower.get("last-modified"), "error": None if status == 304 or 200 <= status < 300 else f"HTTP {status}"}
-        if row["error"] is None or status not in RETRY:
-            break
-    return {"url": url, "etag": None, "last_modified": None, **row}
+    return http.answer({"url": url, "headers": headers, "retries": retries, "timeout": timeout}, lambda u, method, sent, payload, t: (*fetch(u, sent, t), u), sleep)
+
+
+_ASKED = ("url", "method", "payload", "accept", "etag", "last_modified", "timeout", "wait", "retries")
+
+
+def fetched(requests: DataFrame, parallel: int = PARALLEL) -> DataFrame:
+    """A row for each distinct request of a table: url, and any of method, payload, accept, etag, last_modified, timeout, wait, retries.
+
+    So many partitions ask at once, one thing at a time each; a failing request is a row with an error. Rows are written down, so
+    that reading them twice does not ask twice.
+    """
+    asked = requests.select(*(c for c in _ASKED if c in requests.columns)).distinct()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [http.answer({k: v for k, v in r.items() if not pd.isna(v)}) for r in frame.to_dict("records")]
+            yield pd.DataFrame(rows, columns=http.NAMES).astype({"status": "Int32", "attempts": "Int32"})
+
+    return checkpoint(asked.repartition(parallel, F.rand(random.randrange(1 << 30))).mapInPandas(run, http.FIELDS))
+
+
+_LANDED = "url string, status int, body string, etag string, last_modified string, error string, fetched_at timestamp"
 
 
 def land(urls: DataFrame, cache: DataFrame | None = None, fetch: Fetch = http_get, parallel: int = PARALLEL, retries: int = RETRIES) -> DataFrame:
     """Raw rows for distinct URLs, so many at once; validators come from the cache, and a 304 brings its body back.
 
-    A failing request is a row with an error. Write the result down: reading it twice asks twice.
+    A failing request is a row with an error. Rows are written down, so that reading them twice does not ask twice.
     """
     known = urls.select("url").distinct()
     if cache is None:
@@ -63,10 +68,10 @@ def land(urls: DataFrame, cache: DataFrame | None = None, fetch: Fetch = http_ge
                 row = ask(r.url, headers, fetch, retries)
                 if row["status"] == 304:
                     row |= {"body": r.body_ if isinstance(r.body_, str) else None, "etag": row["etag"] or r.etag_, "last_modified": row["last_modified"] or r.last_modified_}
-                rows.append(row | {"fetched_at": pd.Timestamp.now(tz="UTC")})
+                rows.append(row)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LANDED.split(", ")]).astype({"status": "Int32"})
 
-    return known.repartition(parallel, F.rand(random.randrange(1 << 30))).mapInPandas(run, _LANDED)
+    return checkpoint(known.repartition(parallel, F.rand(random.randrange(1 << 30))).mapInPandas(run, _LANDED))
 
 
 def status_of(landed: DataFrame) -> DataFrame:
@@ -86,6 +91,6 @@ def refreshed(cache: DataFrame, landed: DataFrame) -> DataFrame:
 
 def chunked(rows: DataFrame, order: str, size: int, by: str) -> DataFrame:
     """Adds ``chunk``: batches of a size within each ``by``."""
-    from pyspark.sql import Window
+    from ..operators.batches import numbered
 
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size))
+    return numbered(rows, by, [order]).withColumn("chunk", F.floor(F.col("nth") / size)).drop("nth")
