@@ -119,6 +119,42 @@ def _entity(span: Column) -> Column:
     return F.xxhash64(span["kind"], plain)
 
 
+def _level(n_ct: Column, n_c: Column, n_t: Column, n: Column) -> Column:
+    """1 or 2 by the share of an entity's information that a term carries; null below the thresholds."""
+    share = F.log2(n_ct * n / (n_c * n_t)) / F.log2(n / n_c)
+    return F.when(share >= REMOVE, 2).when(share >= GENERALISE, 1)
+
+
+def _levels(held: DataFrame, terms: DataFrame, n: Column) -> DataFrame:
+    """(row, term, level): the greatest level of each term of a row with any entity of the row.
+
+    ``held``: row, same, entity; ``terms``: row, same, term, n_t; ``same`` is how many documents a row stands for, ``n`` how many there
+    are. Terms never meet the entities of a text one by one. Entities of one set of rows have equal counts and are one; with a
+    term that no other row of the set holds, the rarest set of the row gives the greatest share; and a pair that two rows or
+    more share is found in a row other than the set's largest, which is only asked whether it holds the term too.
+    """
+    key = F.struct("rows", "x", "y").alias("set")
+    of = held.groupBy("entity").agg(F.sum("same").alias("n_c"), F.count("*").alias("rows"), F.bit_xor("row").alias("x"), F.bit_xor(F.xxhash64("row")).alias("y")).where(F.col("n_c") < n)
+    placed = C.checkpoint(held.join(of, "entity").select("row", "same", key, "n_c", "rows").distinct())
+    rarest = placed.groupBy("row").agg(F.min("n_c").alias("n_c"))
+    alone = terms.join(rarest, "row").select("row", "term", _level(F.col("same"), F.col("n_c"), F.col("n_t"), n).alias("level"))
+    shared = terms.where(F.col("n_t") > F.col("same"))
+    several = placed.where(F.col("rows") > 1).join(shared.groupBy("row").agg(F.count("*").alias("size")), "row")
+    largest = several.groupBy("set").agg(F.max_by("row", F.struct("size", "row")).alias("large"))
+    # of both counts the lesser bounds n_ct, so a term that is more frequent than this has a share below the threshold
+    may = F.log2("n_t") <= GENERALISE * F.log2("n_c") + (1 - GENERALISE) * F.log2(n) + 1e-9
+    small = several.join(largest, "set").where(F.col("row") != F.col("large"))
+    together = C.checkpoint(small.join(shared.drop("same"), "row").where(may).select("set", "row", "large", "term", "same", "n_c", "n_t"))
+    pairs = together.groupBy("set", "large", "term").agg(F.sum("same").alias("n_ct"), F.count("*").alias("k"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
+    asked = pairs.join(shared.select(F.col("row").alias("large"), "term", F.col("same").alias("more")), ["large", "term"], "left")
+    level = _level(F.col("n_ct") + F.coalesce("more", F.lit(0)), F.col("n_c"), F.col("n_t"), n)
+    several_rows = F.col("k") + F.when(F.col("more").isNull(), 0).otherwise(1) > 1
+    disclosing = C.checkpoint(asked.where(several_rows).select("set", "large", "term", "more", level.alias("level")).where("level IS NOT NULL"))
+    there = together.join(disclosing.select("set", "term", "level"), ["set", "term"]).select("row", "term", "level")
+    in_large = disclosing.where("more IS NOT NULL").select(F.col("large").alias("row"), "term", "level")
+    return alone.unionByName(there).unionByName(in_large).where("level IS NOT NULL").groupBy("row", "term").agg(F.max("level").alias("level"))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, text_hash, base (array of start, end, kind, value) and terms (start, end, kind, level).
 
@@ -134,17 +170,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = found.count()
     n = F.lit(float(max(total, 1)))
     held = holding.select("row", "same", F.explode("entities").alias("entity"))
-    entities = held.groupBy("entity").agg(F.sum("same").alias("n_c")).where(F.col("n_c") < n)
     # counted before the join, so that each task sends a term once, however many documents hold it
     frequency = found.select(F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = holding.select("row", F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term")).join(frequency, "term")
-    # of both counts the lesser bounds n_ct, so a term that is more frequent than this has a share below the threshold
-    may = F.log2("n_t") <= GENERALISE * F.log2("n_c") + (1 - GENERALISE) * F.log2(n) + 1e-9
-    together = C.checkpoint(terms.join(held.join(entities, "entity"), "row").where(may))
-    pairs = together.groupBy("entity", "term").agg(F.sum("same").alias("n_ct"), F.first("n_c").alias("n_c"), F.first("n_t").alias("n_t"))
-    share = F.log2(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))) / F.log2(n / F.col("n_c"))
-    disclosing = pairs.withColumn("share", share).where(F.col("share") >= GENERALISE).select("entity", "term", F.when(F.col("share") >= REMOVE, 2).otherwise(1).alias("level"))
-    levels = together.select("row", "entity", "term").join(disclosing, ["entity", "term"]).groupBy("row", "term").agg(F.max("level").alias("level"))
+    terms = holding.select("row", "same", F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term")).join(frequency, "term")
+    levels = _levels(held, C.checkpoint(terms), n)
     levels = C.checkpoint(levels)
     places = holding.select("row", "rest").join(levels.select("row").distinct(), "row", "left_semi").select("row", F.inline(_word_places(F.col("rest"))))
     term = F.struct("start", "end", F.lit(4).alias("kind"), "level")
