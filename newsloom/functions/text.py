@@ -163,20 +163,33 @@ def normalize_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}\s]+", " "), r"\s+", " "))
 
 
-def significant_tokens(title: Column) -> Column:
+def tokens_of(normal: Column) -> Column:
+    """Distinct words of a normal title that say something."""
     stop = F.split(F.lit(" ".join(STOPWORDS)), " ")
-    return F.array_distinct(F.filter(F.split(normalize_title(title), " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
+    return F.array_distinct(F.filter(F.split(normal, " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)))
 
 
-def significant_stems(title: Column) -> Column:
-    return F.array_distinct(F.transform(significant_tokens(title), lambda w: F.substring(w, 1, STEM)))
+def stems_of(tokens: Column) -> Column:
+    return F.array_distinct(F.transform(tokens, lambda w: F.substring(w, 1, STEM)))
 
 
-def trigrams(title: Column) -> Column:
-    """Distinct runs of three characters of the normal title between two spaces."""
+def trigrams_of(normal: Column) -> Column:
+    """Distinct runs of three characters of a normal title between two spaces."""
     none = F.array().cast("array<string>")
     runs = lambda p: F.when(F.length(p) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - 2, F.lit(1))), lambda i: F.substring(p, i, F.lit(3)))).otherwise(none)
-    return F.array_distinct(bound(F.concat(F.lit(" "), normalize_title(title), F.lit(" ")), runs))
+    return F.array_distinct(bound(F.concat(F.lit(" "), normal, F.lit(" ")), runs))
+
+
+def significant_tokens(title: Column) -> Column:
+    return tokens_of(normalize_title(title))
+
+
+def significant_stems(title: Column) -> Column:
+    return stems_of(significant_tokens(title))
+
+
+def trigrams(title: Column) -> Column:
+    return trigrams_of(normalize_title(title))
 
 
 def shared(a: Column, b: Column) -> Column:

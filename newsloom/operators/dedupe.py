@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..runtime import checkpoint
+from .components import components
 
 JACCARD, LOOSE_JACCARD, DICE, DISTINCTIVE, INCLUSION = 0.55, 0.34, 0.68, 2, 0.5
 LEAST_WORDS = 3
@@ -24,8 +28,9 @@ def link_groups(articles: DataFrame) -> DataFrame:
 
 
 def fingerprints(groups: DataFrame, title: str = "title") -> DataFrame:
-    """Adds stems, n_words and grams of a title."""
-    return groups.withColumn("stems", T.significant_stems(F.col(title))).withColumn("n_words", F.size(T.significant_tokens(F.col(title)))).withColumn("grams", T.trigrams(F.col(title)))
+    """Adds stems, n_words and grams of a title, all from its normal form."""
+    out = groups.withColumn("normal_", T.normalize_title(F.col(title))).withColumns({"words_": T.tokens_of(F.col("normal_")), "grams": T.trigrams_of(F.col("normal_"))})
+    return out.withColumns({"stems": T.stems_of(F.col("words_")), "n_words": F.size("words_")}).drop("normal_", "words_")
 
 
 def same_subject(both: Column, na: Column, nb: Column, generic: list[str] = ()) -> tuple[Column, Column]:
@@ -47,6 +52,7 @@ def similar_pairs(groups: DataFrame, generic: list[str] = (), key: str = "group_
     ``need - 1`` stems of either title. A pair meets at that stem alone, so no pair comes twice; trigrams are joined only where they decide.
     """
     usable = groups.where(F.col("n_words") >= LEAST_WORDS).select(F.col(block).alias("block"), F.col(key).alias("key"), "stems", "grams")
+    usable = checkpoint(usable)  # four times read below
     each = usable.select("block", "key", F.explode("stems").alias("stem"))
     counts = each.groupBy("block", "stem").agg(F.count("*").alias("in_block"))
     ordered = each.join(counts, ["block", "stem"]).groupBy("block", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("in_block", "stem"))), lambda s: s["stem"]).alias("stems"))
@@ -65,13 +71,51 @@ def similar_pairs(groups: DataFrame, generic: list[str] = (), key: str = "group_
     return met.where("same").select("block", "a", "b").unionByName(close.select("block", "a", "b"))
 
 
-def founders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+TASK_PAIRS = 200_000  # of a component that one task decides
+
+
+def founders(nodes: DataFrame, pairs: DataFrame, most: int = TASK_PAIRS) -> DataFrame:
     """(node, founder): each node in order joins the earliest founder that it is paired with, or becomes one.
 
-    ``pairs`` holds (a, b) with a before b. Not a transitive closure: members attract nobody. A node is decided once all
-    its earlier neighbours are; rounds go on until none is left, each written down so that lineage stays short.
+    ``pairs`` holds (a, b) with a before b. Not a transitive closure: members attract nobody. But only nodes of one component
+    of the pairs bear on each other, so that a task decides a whole component by its pairs in order, however long a chain of
+    decisions is. Components of more pairs than ``most`` are decided in rounds over all tasks.
     """
     edges = checkpoint(pairs.select("a", "b").distinct())
+    of = components(edges).withColumnRenamed("node", "b")
+    placed = checkpoint(edges.join(of, "b"))
+    large = placed.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component")
+    small = placed.join(large, "component", "left_anti").repartition("component").sortWithinPartitions("component", "b", "a")
+    name = lambda c: F.to_json(F.struct(F.col(c).alias("k")))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined: set[str] = set()  # nodes of this component that are no founders
+        component, last, settled = None, None, False
+        for batch in batches:
+            keep = []
+            for k, (c, a, b) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("c_", "a_", "b_")), strict=True)):
+                if c != component:
+                    component, joined = c, set()
+                if b != last:
+                    last, settled = b, False
+                if not settled and a not in joined:
+                    settled = True
+                    joined.add(b)
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column("b").take(pa.array(keep, pa.int64())), batch.column("a").take(pa.array(keep, pa.int64()))], names=["node", "founder"])
+
+    kind = edges.schema["a"].dataType.simpleString()
+    told = small.select("a", "b", name("component").alias("c_"), name("a").alias("a_"), name("b").alias("b_")).mapInArrow(decide, f"node {kind}, founder {kind}")
+    rest = placed.join(large, "component", "left_semi").select("a", "b")
+    members = told
+    if large.limit(1).count():
+        ends = rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node")))
+        members = told.unionByName(_in_rounds(ends, rest).where("node <> founder"))
+    return nodes.select("node").distinct().join(checkpoint(members), "node", "left").select("node", F.coalesce("founder", "node").alias("founder"))
+
+
+def _in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``founders``: a node is decided once all its earlier neighbours are; each round is written down so that lineage stays short."""
     state = checkpoint(nodes.select("node").distinct().join(edges.select(F.col("b").alias("node")).distinct().withColumn("later", F.lit(True)), "node", "left").select("node", F.when(F.col("later").isNull(), F.col("node")).alias("founder")))
     while state.where(F.col("founder").isNull()).limit(1).count():
         known = state.select(F.col("node").alias("a"), F.col("founder").alias("fa"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import resolve_window
 from newsloom.functions.lexicon import Analyzer, Vocabulary
-from newsloom.operators import dedupe, rank, report, translate
+from newsloom.operators import components, dedupe, rank, report, translate
 from newsloom.plans.digest import Options, digest
 from newsloom.sinks import mail, render
 from newsloom.sources import books, feeds, landing, plan
@@ -47,6 +47,63 @@ def test_founders_equal_a_sequential_run(spark):
     assert {r["node"]: r["founder"] for r in got.collect()} == want
 
 
+def sequential(nodes, pairs):
+    near, want = set(pairs), {}
+    for n in sorted(nodes):
+        want[n] = next((m for m in sorted(want) if want[m] == m and (m, n) in near), n)
+    return want
+
+
+@pytest.mark.parametrize("most", [0, 40, 10**6])
+def test_founders_by_component_and_in_rounds(spark, most):
+    rng = random.Random(most)
+    pairs = [(min(a, b), max(a, b)) for a, b in ((rng.randint(0, 150), rng.randint(0, 150)) for _ in range(160)) if a != b]
+    nodes = list(range(155))
+    got = dedupe.founders(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(pairs, "a long, b long"), most)
+    assert {r["node"]: r["founder"] for r in got.collect()} == sequential(nodes, pairs)
+    assert dedupe.founders(spark.createDataFrame([(1,)], "node long"), spark.createDataFrame([], "a long, b long"), most).collect()[0]["founder"] == 1
+
+
+def jobs(spark, run):
+    """Jobs that Spark was given."""
+    group = f"counted-{random.random()}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_chain_takes_few_jobs(spark):
+    counts = []
+    for n in (60, 500):
+        chain = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
+        nodes = spark.range(n + 1).withColumnRenamed("id", "node")
+        found = {}
+        counts.append(jobs(spark, lambda: found.update({r["node"]: r["founder"] for r in dedupe.founders(nodes, chain).collect()})))  # noqa: B023
+        assert found == {k: k - k % 2 for k in range(n + 1)}
+    assert counts[1] <= 2 * counts[0]  # one more round for each doubling; a round for each decision would take 250
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(80)] + [(2000, 2001 + k) for k in range(200)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert got == {x: root(x) for x in linked}
+
+
 def test_stories(spark):
     rows = [(1, "https://a/1", "Incendie de la synagogue de Rouen ce matin", "FR", "Le Figaro"), (2, "https://b/1", "Rouen : incendie à la synagogue ce matin", "FR", "Le Monde"), (3, "https://c/1", "Incendie de la synagogue de Rouen ce matin", "DE", "Welt"), (4, "https://a/1", "Autre titre sans rapport aucun", "PL", "Le Figaro"), (5, None, "Court", "FR", None), (6, None, "Court", "FR", "x")]
     a = spark.createDataFrame(rows, "ord long, canonical string, title string, country string, publisher string").selectExpr("*", "timestamp'2026-07-20' as date", "'s' as summary", "'media' as origin", "1.0D as weight", "cast(null as string) as image")
