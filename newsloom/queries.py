@@ -523,12 +523,39 @@ def feed_articles(spark, sf):
 SELECT guid, min(doc_id) AS doc_id, 'google-books::' || guid AS id, arg_min({_collapse('source')} || ' — ' || lang, doc_id) AS title, arg_min(CASE WHEN doc_id % 3 = 0 THEN 'jour' ELSE 'mois' END, doc_id) AS precision, arg_min('A, ' || source, doc_id) AS author, arg_min('https://i.example/' || doc_id, doc_id) AS image FROM y GROUP BY guid""")
 def book_volumes(spark, sf):
     """Documents as catalogue answers of one volume each, two for most volumes; those without a link or outside the window go."""
+    found = books.volumes(_book_answers(spark, sf), *_week())
+    return found.select("guid", F.col("ord.ord").alias("doc_id"), "id", "title", F.col("date_precision").alias("precision"), "author", "image")
+
+
+def _week():
+    return F.lit("2024-01-07").cast("timestamp"), F.lit("2024-01-14").cast("timestamp")
+
+
+def _book_answers(spark, sf):
     i = F.col("doc_id")
     info = F.struct(F.col("source").alias("title"), F.col("lang").alias("subtitle"), F.array(F.lit("A"), F.col("source")).alias("authors"), F.when(i % 3 == 0, "2024-01-09").when(i % 3 == 1, "2024-01").otherwise("2024").alias("publishedDate"), F.col("text").alias("description"), F.when(i % 5 != 0, F.concat(F.lit("https://b.example/"), i)).alias("infoLink"), F.struct(F.concat(F.lit("http://i.example/"), i).alias("thumbnail")).alias("imageLinks"))
     body = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("v"), F.floor(i / 2)).alias("id"), info.alias("volumeInfo"))).alias("items")))
-    answers = _articles(spark, sf).select(i.alias("ord"), F.lit("q").alias("query"), F.lit("fr").alias("language"), body.alias("body"))
-    found = books.volumes(answers, F.lit("2024-01-07").cast("timestamp"), F.lit("2024-01-14").cast("timestamp"))
-    return found.select("guid", F.col("ord.ord").alias("doc_id"), "id", "title", F.col("date_precision").alias("precision"), "author", "image")
+    return _articles(spark, sf).select(i.alias("ord"), F.lit("q").alias("query"), F.lit("fr").alias("language"), body.alias("body"))
+
+
+@query("""WITH x AS (SELECT doc_id, doc_id % 7 = 0 AS failed, doc_id % 7 = 1 AS odd, doc_id % 3 <> 2 AND doc_id % 5 <> 0 AS fits, doc_id // 2 AS guid FROM documents),
+f AS (SELECT guid, min(doc_id) AS first FROM x WHERE fits AND NOT failed AND NOT odd GROUP BY guid)
+SELECT doc_id, CASE WHEN failed OR odd THEN 'echec' ELSE 'ok' END AS status, CASE WHEN failed THEN 'HTTP 429' WHEN odd THEN 'unreadable JSON' END AS error, CASE WHEN failed OR odd THEN 0 ELSE 1 END::BIGINT AS total, CASE WHEN first = doc_id THEN 1 ELSE 0 END::BIGINT AS kept FROM x LEFT JOIN f ON f.guid = x.guid""")
+def book_calls(spark, sf):
+    """Calls with what each was the first to bring; one in seven was refused, one in seven had an answer cut short."""
+    i = F.col("ord")
+    answers = _book_answers(spark, sf).withColumns({"error": F.when(i % 7 == 0, "HTTP 429"), "body": F.when(i % 7 > 1, F.col("body")).when(i % 7 == 1, F.expr("left(body, length(body) - 1)"))})
+    found = books.volumes(answers, *_week())
+    return books.call_report(answers, found).select(i.alias("doc_id"), "status", "error", "total", "kept")
+
+
+@query("""WITH x AS (SELECT page_id, page_id % 5 AS k FROM pages)
+SELECT page_id, 'https://' || ['xn--bcher-kva', 'xn--e1afmkfd', 'xn--hxajbheg2az3al', 'xn--wgv71a119e', 'plain'][k + 1] || '.example/p' || page_id || '/?a=%C3%A9+%26&b=1' AS canonical, ['xn--bcher-kva', 'xn--e1afmkfd', 'xn--hxajbheg2az3al', 'xn--wgv71a119e', 'plain'][k + 1] || '.example' AS host FROM x""")
+def international_links(spark, sf):
+    """Pages at hosts in German, Russian, Greek, Japanese and plain letters, with parameters as a form would not write them."""
+    names = F.array(*(F.lit(n) for n in ("Bücher", "пример", "παράδειγμα", "日本語", "PLAIN")))
+    url = F.concat(F.lit("http://www."), F.get(names, F.col("page_id") % 5), F.lit(".Example:80/p"), F.col("page_id"), F.lit("/?b=1&utm_id=3&a=é %26#top"))
+    return _table(spark, sf, "pages").select("page_id", U.canonical_url(url).alias("canonical"), U.hostname(url).alias("host"))
 
 
 @query(f"""WITH {_TYPES}, z AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'podcast' ELSE type END AS section FROM y), r AS (SELECT doc_id, section, row_number() OVER (PARTITION BY section ORDER BY score DESC, doc_id) AS place FROM z WHERE section <> 'actualite')

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +56,54 @@ def spread(rows: DataFrame) -> DataFrame:
     """Dealt anew in turn where a scan has fewer tasks than there are cores, as with one small file of heavy rows; a large table stays as it is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+class Progress:
+    """Tells a hook how far the jobs of a run's stages are: (stage, tasks done, tasks known so far).
+
+    A stage is a job group of Spark's own, whose tasks the status tracker counts; a thread asks now and then, and once more when
+    the stage ends. Without a hook nothing is asked. The hook's own failures do not stop the run.
+    """
+
+    def __init__(self, spark: SparkSession, hook: Callable[[str, int, int], None] | None, every: float = 0.5):
+        self.context, self.hook, self.every = spark.sparkContext, hook, every
+
+    def _count(self, group: str) -> tuple[int, int]:
+        tracker, done, known = self.context.statusTracker(), 0, 0
+        for job in tracker.getJobIdsForGroup(group):
+            for stage in (info.stageIds if (info := tracker.getJobInfo(job)) else []):
+                if tasks := tracker.getStageInfo(stage):
+                    done, known = done + tasks.numCompletedTasks, known + tasks.numTasks
+        return done, known
+
+    def _tell(self, name: str, group: str) -> None:
+        try:
+            self.hook(name, *self._count(group))
+        except Exception:  # of the caller's hook
+            self.hook = self.hook and (lambda *_: None)
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        """Jobs that this thread starts inside belong to the stage; a job group around it holds again afterwards."""
+        if self.hook is None:
+            yield
+            return
+        keys = ("spark.jobGroup.id", "spark.job.description")
+        before = [self.context.getLocalProperty(k) for k in keys]
+        group, ended = f"{name}-{uuid.uuid4().hex}", threading.Event()
+        self.context.setJobGroup(group, name)
+
+        def watch() -> None:
+            while not ended.wait(self.every):
+                self._tell(name, group)
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            yield
+        finally:
+            ended.set()
+            watcher.join()
+            for k, v in zip(keys, before, strict=True):
+                self.context.setLocalProperty(k, v)
+            self._tell(name, group)

@@ -39,3 +39,22 @@ def volumes(answers: DataFrame, start: Column, end: Column, body: str = "body")
     )
     kept = out.where((F.coalesce("link", F.lit("")) != "") & volume_in_window(F.col("date"), F.col("date_precision"), start, end))
     return first_by(kept, "guid")
+
+
+def call_report(answers: DataFrame, found: DataFrame) -> DataFrame:
+    """One row for each call of ``answers`` (ord, query, language, body, error): id, name, url, origin, status, error, total, kept.
+
+    ``total`` counts the volumes of the answer, ``kept`` those of ``found`` (by ``volumes``) that this call was the first to bring. A
+    call that failed or whose answer cannot be read keeps its row, with nothing in it.
+    """
+    blank = F.trim(F.coalesce("body", F.lit(""))) == ""
+    read = F.from_json("body", "struct<items:array<struct<id:string>>, odd_:string>", {"columnNameOfCorruptRecord": "odd_"})
+    calls = answers.withColumn("j_", read).withColumn("error", F.coalesce("error", F.when(~blank & (F.col("j_").isNull() | F.col("j_.odd_").isNotNull()), "unreadable JSON")))
+    first = found.groupBy(F.col("ord.ord").alias("of_")).agg(F.count("*").alias("new_"))
+    in_words = F.concat(F.lit("Google Books — "), F.col("query"), F.coalesce(F.concat(F.lit(" ("), F.col("language"), F.lit(")")), F.lit("")))
+    ok = F.col("error").isNull()
+    total = F.when(ok, F.size(F.coalesce("j_.items", F.array().cast("array<struct<id:string>>")))).otherwise(0)
+    return calls.join(first, F.col("ord") == F.col("of_"), "left").select(
+        "ord", F.concat_ws(":", F.lit("google-books"), "query", F.coalesce("language", F.lit("toutes"))).alias("id"), in_words.alias("name"), F.lit(ENDPOINT).alias("url"), F.lit("google-books").alias("origin"),
+        F.when(ok, "ok").otherwise("echec").alias("status"), "error", total.cast("long").alias("total"), F.when(ok, F.coalesce("new_", F.lit(0))).otherwise(0).cast("long").alias("kept"),
+    )

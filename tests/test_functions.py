@@ -127,3 +127,24 @@ def test_titles_count_double(spark, title, summary, want):
     kind = value(spark, a.content_type(F.lit(title), F.lit(summary), F.lit(None).cast("string"), F.lit(False)))
     assert kind == ("actualite" if want < 2 else "evenement" if title == "Exposition" else "livre")
     assert value(spark, a.content_type(F.lit("Au musée"), F.lit(""), F.lit(None).cast("string"), F.lit(False))) == "evenement"  # words of culture announce events
+
+
+def test_international_hosts(spark):
+    rng = random.Random(1)
+    labels = ["bücher", "пример", "παράδειγμα", "faß", "日本語", "abc", "a-b", "😀", "中文测试", "a😀b日c", "é"] + ["".join(rng.choice("abcdéüñжλ日😀-") for _ in range(rng.randint(1, 12))) for _ in range(150)]
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select("x", F.expr(f"get(transform(array(x), y_ -> {U.sql_ascii_label('y_')}), 0)").alias("a"))
+    assert {r["x"]: r["a"] for r in got.collect()} == {x: x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in labels}
+
+
+@pytest.mark.parametrize("url, want, host", [
+    ("https://WWW.Bücher.example/straße?ß=ü&a=1", "https://xn--bcher-kva.example/stra%C3%9Fe?a=1&%C3%9F=%C3%BC", "xn--bcher-kva.example"),
+    ("http://пример.рф", "https://xn--e1afmkfd.xn--p1ai/", "xn--e1afmkfd.xn--p1ai"),
+    ("https://παράδειγμα。gr/x/", "https://xn--hxajbheg2az3al.gr/x", "xn--hxajbheg2az3al.gr"),
+    ("http://e.fr:80/a", "https://e.fr/a", "e.fr"),
+    ("http://e.fr:8080/a", "https://e.fr:8080/a", "e.fr"),
+    ("https://e.fr/x?q=a b&p=%zz&k&UTM_x=1", "https://e.fr/x?k=&p=%25zz&q=a+b", "e.fr"),
+    ("https://e.fr/x?b=2&a=2&b=1&a=%C3%A9*-._~", "https://e.fr/x?a=2&a=%C3%A9*-._%7E&b=2&b=1", "e.fr"),
+    ("mailto:a@b.example", "mailto:a@b.example", None),
+])
+def test_links_of_any_script(spark, url, want, host):
+    assert (value(spark, U.canonical_url(F.lit(url))), value(spark, U.hostname(F.lit(url)))) == (want, host)
