@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import threading
+import time
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -68,19 +69,28 @@ class Progress:
     def __init__(self, spark: SparkSession, hook: Callable[[str, int, int], None] | None, every: float = 0.5):
         self.context, self.hook, self.every = spark.sparkContext, hook, every
 
-    def _count(self, group: str) -> tuple[int, int]:
-        tracker, done, known = self.context.statusTracker(), 0, 0
+    def _count(self, group: str) -> tuple[int, int, bool]:
+        """Tasks done and known, and whether all jobs have ended; stages that an ended job passed over are none of its tasks."""
+        tracker, done, known, ended = self.context.statusTracker(), 0, 0, True
         for job in tracker.getJobIdsForGroup(group):
-            for stage in (info.stageIds if (info := tracker.getJobInfo(job)) else []):
-                if tasks := tracker.getStageInfo(stage):
-                    done, known = done + tasks.numCompletedTasks, known + tasks.numTasks
-        return done, known
-
-    def _tell(self, name: str, group: str) -> None:
+            if info := tracker.getJobInfo(job):
+                over = info.status != "RUNNING"
+                ended &= over
+                for tasks in filter(None, map(tracker.getStageInfo, info.stageIds)):
+                    if tasks.numCompletedTasks or not over:
+                        done, known = done + tasks.numCompletedTasks, known + tasks.numTasks
+        return done, known, ended
+
+    def _tell(self, name: str, group: str, last: bool = False) -> None:
         try:
-            self.hook(name, *self._count(group))
+            for _ in range(20 if last else 1):  # the tracker hears of an end a little later
+                done, known, ended = self._count(group)
+                if ended or not last:
+                    break
+                time.sleep(0.05)
+            self.hook(name, done, known)
         except Exception:  # of the caller's hook
-            self.hook = self.hook and (lambda *_: None)
+            self.hook = lambda *_: None
 
     @contextmanager
     def stage(self, name: str) -> Iterator[None]:
@@ -106,4 +116,4 @@ class Progress:
             watcher.join()
             for k, v in zip(keys, before, strict=True):
                 self.context.setLocalProperty(k, v)
-            self._tell(name, group)
+            self._tell(name, group, last=True)

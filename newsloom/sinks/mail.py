@@ -67,7 +67,7 @@ class Called:
         pass
 
 
-def deliver(digest: dict, to: str | list[str], transport: Transport, sender: str = "revue@localhost", reply_to: str | None = None) -> object:
+def deliver(digest: dict, to: str | list[str], transport: Transport, sender: str = "revue@localhost", reply_to: str | None = None, subject: str | None = None) -> object:
     """Check the recipients, send both forms, and always close the transport."""
     try:
         recipients = parse_recipients(to)
@@ -75,6 +75,6 @@ def deliver(digest: dict, to: str | list[str], transport: Transport, sender: str
             raise ValueError("no recipient")
         if bad := [r for r in recipients if not valid_recipient(r)]:
             raise ValueError(f"invalid recipient: {', '.join(bad)}")
-        return transport.send(Message(sender, recipients, render.subject(digest), render.to_email(digest), render.to_text(digest), reply_to))
+        return transport.send(Message(sender, recipients, subject or render.subject(digest), render.to_email(digest), render.to_text(digest), reply_to))
     finally:
         transport.close()
