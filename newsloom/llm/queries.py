@@ -19,4 +19,4 @@ QUERIES = {
     "op12_conversation_repair": conversations.op12_conversation_repair,
     "op13_best_fit_packing": packing.op13_best_fit_packing,
 }
-SQL: dict[str, str] = {"op4_topk_search": topk_search.SQL, "op11_hard_negatives": hard_negatives.SQL}
+SQL: dict[str, str] = {"op3_decontamination": decontaminate.SQL, "op4_topk_search": topk_search.SQL, "op9_substring_dedup": substring_dedup.SQL, "op11_hard_negatives": hard_negatives.SQL}
