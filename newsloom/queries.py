@@ -18,6 +18,7 @@ from .operators.batches import batches
 from .runtime import new_path, spread
 from .sources import books, feeds, landing, plan
 from .sources.tables import CacheTables, key_of
+from .streaming.stories import Stories
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -650,3 +651,14 @@ def language_batches(spark, sf):
     titles = _articles(spark, sf).select(F.col("lang").alias("language"), F.col("title").alias("text")).distinct()
     b = batches(titles, "language", ["text"], 25)
     return b.select("language", "batch", F.size("rows").cast("long").alias("n"), F.get("rows", 0)["text"].alias("first_text"), F.element_at("rows", -1)["text"].alias("last_text"))
+
+
+@query(f"WITH RECURSIVE {_A}, {_PRINTS}, {_CLUSTERS} SELECT doc_id, cluster FROM c")
+def streamed_clusters(spark, sf):
+    """Founder clusters of documents that arrive in three batches, in the order of their ids."""
+    a = _articles(spark, sf).select(F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("canonical"), "title", F.col("country").cast("string").alias("country"), "date")
+    stories = Stories(spark, new_path(spark, "stories"), GENERIC)
+    ends = a.agg(F.percentile_approx("ord", [1 / 3, 2 / 3])).first()[0] or [0, 0]
+    for k, part in enumerate((a.where(F.col("ord") <= ends[0]), a.where(F.col("ord").between(ends[0] + 1, ends[1])), a.where(F.col("ord") > ends[1]))):
+        stories.take(part, k)
+    return stories.assigned().select(F.col("ord").alias("doc_id"), F.col("cluster.ord").alias("cluster"))
