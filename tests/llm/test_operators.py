@@ -312,6 +312,37 @@ def test_near_copies_are_those_of_similarity(spark, monkeypatch):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, table, "").collect()} == set(sets) - gone
 
 
+def test_near_copies_exact_way_and_lanes(spark, monkeypatch):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    common, rows = [word() for _ in range(330)], []
+    for i in range(110):  # one long passage, changed here and there: similarities on both sides of 0.8
+        w = list(common)
+        for at in rng.sample(range(330), rng.randint(0, 13)):
+            w[at] = word()
+        rows.append((i, " ".join(w + [word() for _ in range(rng.choice((0, 0, 30, 90)))])))
+    rows += [(200 + i, " ".join(common[:40] + [word() for _ in range(40)])) for i in range(20)] + [(300, ""), (301, None), (302, "a")]
+    sets = {i: frozenset(" ".join(w[k : k + 5]) for k in range(max(len(w) - 5, 0) + 1)) if (w := (t or "").split()) else frozenset() for i, t in rows}
+    want = {i: i for i in sets}
+    for i in sets:
+        for j in (j for j in sets if j < i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = {k: a if v == b else v for k, v in want.items()}
+    assert 20 < sum(want[i] == i for i in range(110)) < 100  # some join, many stay apart
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    both = ({}, {"keys": None, "sigmas": None})
+    for options in both:
+        assert {k: v[0] for k, v in by_id(near_copies.near_copies(df, **options), "component_id").items()} == want
+    given, linked = [], near_copies._linked
+    monkeypatch.setattr(near_copies, "_linked", lambda keyed, shingle: given.append(linked(keyed, shingle).count()) or linked(keyed, shingle))
+    for name, value in (("RUN_ROWS", 2), ("LANE_ROWS", 16), ("LANE_SHINGLES", 9000), ("EARLY", 3), ("SKETCH", 64)):
+        monkeypatch.setattr(near_copies, name, value)
+    for options in both:
+        assert {k: v[0] for k, v in by_id(near_copies.near_copies(df, **options), "component_id").items()} == want
+    assert len(given) == 2 and all(n < 20 * len(rows) for n in given)  # not the pairs of a group
+
+
 def test_suffix_dedup(spark, docs, rows, empty):
     for window in (200, 64):
         got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), __import__("hashlib").sha256(r["kept"]).hexdigest()) for r in suffix_dedup.byte_repeats(docs, window).collect()}
