@@ -306,7 +306,8 @@ def _prints(spark, sf):
 
 
 def _members(spark, sf):
-    a = _articles(spark, sf).withColumns({"ord": F.col("doc_id"), "canonical": F.lit(None).cast("string"), "summary": F.col("text"), "image": F.lit(None).cast("string"), "publisher": F.col("source"), "country": F.col("country").cast("string"), "link": F.lit("x")})
+    # of the text the title is read and whether there is one; the whole of it would be written down and shuffled with each story
+    a = _articles(spark, sf).withColumns({"ord": F.col("doc_id"), "canonical": F.lit(None).cast("string"), "summary": F.substring("text", 1, 80), "image": F.lit(None).cast("string"), "publisher": F.col("source"), "country": F.col("country").cast("string"), "link": F.lit("x")}).drop("text")
     return dedupe.clusters(a, GENERIC)
 
 
@@ -334,7 +335,7 @@ def cluster_publishers(spark, sf):
 def cluster_scores(spark, sf):
     best = dedupe.representatives(_members(spark, sf))
     age = D.days_between(F.lit("2024-01-20").cast("timestamp"), F.col("date"))
-    score = rank.cluster_score(F.col("score"), F.col("weight"), F.col("size"), age, F.lit(7.0), F.lit(False), F.col("text") != "", F.col("origin") == "media")
+    score = rank.cluster_score(F.col("score"), F.col("weight"), F.col("size"), age, F.lit(7.0), F.lit(False), F.col("summary") != "", F.col("origin") == "media")
     return best.select(F.col("cluster.ord").alias("cluster"), rank.round_half_up(score).alias("score"))
 
 

@@ -60,7 +60,7 @@ class Stories:
             founders = founders.join(prints.select("block").distinct(), "block", "left_semi")
             compared = compared.unionByName(founders.select("group_ord", "block", "stems", "n_words", "grams"))
         compared = checkpoint(compared)
-        found = dedupe.founders(compared.select(F.col("group_ord").alias("node")), dedupe.similar_pairs(compared, self.generic))
+        found = dedupe.founders_of_titles(compared, self.generic)
         blocks = compared.select(F.col("group_ord").alias("cluster"), F.col("block").alias("cluster_country"))
         joined = prints.join(found.select(F.col("node").alias("group_ord"), F.col("founder").alias("cluster")), "group_ord").join(blocks, "cluster")
         groups = checkpoint(joined.withColumn("batch", F.lit(batch)))

@@ -201,3 +201,44 @@ def test_digest_end_to_end(spark):
     assert (story["publisher"], story["reprises"], story["n_reprises"], story["type"]) == ("Journal", ["Gazette"], 1, "actualite")
     assert [e["title"] for e in got["podcasts"]] == ["Ep"] and got["silent"] == ["Malte"] and len(got["front_page"]) == 1
     assert got["meta"]["failed"] == 1 and "Ep" in render.to_markdown(got)
+
+
+def _titles(spark):
+    """Titles of a few words, many of them told often, over two blocks."""
+    rng = random.Random(5)
+    words = [a + b for a in ("mar", "tol", "ven", "sur", "pek", "lid") for b in ("ano", "eti", "ubo")]
+    kept = [" ".join(rng.sample(words, rng.choice((3, 4, 6)))) for _ in range(25)]
+    rows = [(n, n % 2, rng.choice(kept) if rng.random() < 0.6 else " ".join(rng.sample(words, 5))) for n in range(160)] + [(160 + n, 0, "one") for n in range(3)]
+    return dedupe.fingerprints(spark.createDataFrame(rows, "group_ord long, block long, title string")).localCheckpoint()
+
+
+def _brute(groups):
+    def alike(x, y):
+        a, b, g, h = set(x["stems"]), set(y["stems"]), set(x["grams"]), set(y["grams"])
+        k = len(a & b)
+        near = k / len(a | b)
+        return near >= 0.55 or (near >= 0.34 and 2 * len(g & h) / (len(g) + len(h)) >= 0.68) or (k >= 2 and k / min(len(a), len(b)) >= 0.5)
+
+    rows = [r for r in groups.orderBy("group_ord").collect() if r["n_words"] >= 3]
+    return [(x["group_ord"], y["group_ord"]) for i, x in enumerate(rows) for y in rows[i + 1 :] if x["block"] == y["block"] and alike(x, y)]
+
+
+@pytest.mark.parametrize("lane", [3, 1000])
+def test_pairs_of_titles_told_often(spark, monkeypatch, lane):
+    monkeypatch.setattr(dedupe, "LANE", lane)
+    groups = _titles(spark)
+    assert sorted((r["a"], r["b"]) for r in dedupe.similar_pairs(groups).collect()) == sorted(_brute(groups))
+
+
+@pytest.mark.parametrize("first", [5, 1000])
+def test_founders_in_slices_equal_a_sequential_run(spark, first):
+    groups = _titles(spark)
+    got = dedupe.founders_of_titles(groups, first=first)
+    assert {r["node"]: r["founder"] for r in got.collect()} == sequential(range(163), _brute(groups))
+
+
+def test_a_title_told_often_is_compared_once(spark):
+    rows = [(n, 1, "three plain words") for n in range(40)]
+    groups = dedupe.fingerprints(spark.createDataFrame(rows, "group_ord long, block long, title string")).localCheckpoint()
+    assert dedupe.title_pairs(dedupe.titles_of(groups, dedupe.alike(groups))).count() == 0
+    assert dedupe.similar_pairs(groups).count() == 40 * 39 // 2
