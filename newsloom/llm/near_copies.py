@@ -28,11 +28,9 @@ from .simhash import SEED, _links, _with_keys, fingerprint, golay_keys, shingle_
 
 SHINGLE, WORD_BITS, BITS = 5, 7, 14  # the bits at which fingerprints of words and of shingles make a candidate
 SAMPLED, OFTEN, MASK_BITS, MASK_MOST = 4, 3, 22, 200_000  # of 4 documents one; a shingle of 3 of those is frequent
-KEYS = 24  # of a set of which less than half is frequent
 RUN_ROWS, CENTRES = 8, 3  # longest run of a key compared in full by verified pairs; centres of longer ones
 SKETCH, BLOCK, COLUMNS = 256, 256, 16384  # values of a sketch; rows and values compared at once
 LANE_ROWS, LANE_SHINGLES, EARLY = 8192, 4_000_000, 64  # rows or shingles of a run in one task; keys that tell whether two rows met before
-SIGMAS = 7.0
 _SLOT = np.uint64((1 << MASK_BITS) - 1)
 
 
@@ -71,7 +69,7 @@ def _prints(rows: DataFrame, often: np.ndarray, shingle: int, most: int | None)
     on the side of a comparison).
 
     Sets of n and m shingles with a similarity of 0.8 share at least 0.8 n and 0.8 m, so one of the first n - ceil(0.8 n) + 1.
-    Where most shingles are not frequent, ``most`` = 24 of those are enough (None: all are taken): at 0.8 these have a similarity of 0.64 at least, and the first
+    All are taken, unless ``most`` is given: where most shingles are not frequent, 24 are enough but for chance, as at 0.8 these have a similarity of 0.64 at least, and the first
     24 of both sets' hashes hold none in common once in 10**10 times.
     """
 
@@ -323,14 +321,14 @@ def _unordered() -> list[Column]:
     return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, word_bits: int = WORD_BITS, id_col: str = "doc_id", text_col: str = "text", keys: int | None = KEYS, sigmas: float | None = SIGMAS) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, word_bits: int = WORD_BITS, id_col: str = "doc_id", text_col: str = "text", keys: int | None = None, sigmas: float | None = None) -> DataFrame:
     """(doc_id, component_id) of every row with an id: components of documents with 0.8 or more of their distinct shingles in
     common (of both documents' together).
 
     Null and blank texts count as copies of each other. Rows of one id and text are one document; rows of one id with different texts
-    keep a row each and are joined only by their texts. Every link is verified by the sets. ``keys`` and ``sigmas`` bound what chance
-    can lose (see ``_prints`` and ``_candidates``); with None for both no pair is lost, as all keys of the prefix are taken and a
-    sketch excludes only what its counts rule out.
+    keep a row each and are joined only by their texts. Every link is verified by the sets. No pair is lost: all keys of the prefix are
+    taken, and a sketch excludes only what its counts rule out. ``keys`` (such as 24) and ``sigmas`` (such as 7) bound both by
+    chance instead (see ``_prints`` and ``_candidates``), for callers that ask for it.
     """
     rows = C.id_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull())
     prints = C.checkpoint(_prints(rows, _often(rows, shingle), shingle, keys))

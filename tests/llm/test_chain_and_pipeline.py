@@ -122,3 +122,17 @@ def test_the_whole_pipeline(spark, folder):
     assert all(list(got[i]["ids"]) == sp.encode(texts[i]) for i in plain) and got[1006]["n_tokens"] == 0
     said = sp.decode(list(got[1005]["ids"]))
     assert "[EMAIL]" in said and "jo@mail" not in said and re.match(r"\S+ \S+ \[EMAIL\]", said)
+
+
+def test_pipeline_takes_all_keys_of_near_copies(spark, monkeypatch):
+    from newsloom.llm import near_copies
+
+    found, prints, candidates = [], near_copies._prints, near_copies._candidates
+    monkeypatch.setattr(near_copies, "_prints", lambda rows, often, shingle, most: found.append(most) or prints(rows, often, shingle, most))
+    monkeypatch.setattr(near_copies, "_candidates", lambda keyed, sigmas: found.append(sigmas) or candidates(keyed, sigmas))
+    words = [f"w{n}" for n in range(1200)]
+    # twelve near copies, so that keys are held by more than are compared in full
+    rows = [(n, " ".join([*words[: 90 * n], f"new{n}", *words[90 * n :]])) for n in range(12)]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert found and set(found) == {None}
