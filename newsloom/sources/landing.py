@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from . import http
 
 TIMEOUT, BACKOFF, RETRIES = http.GET
 PARALLEL = http.PARALLEL
+ROWS = 64  # answers that a task holds at once
 Fetch = Callable[[str, dict[str, str], float], tuple[int, str | None, dict[str, str]]]
 
 
@@ -30,6 +32,18 @@ def ask(url: str, headers: dict[str, str], fetch: Fetch = http_get, retries: int
 _ASKED = ("url", "method", "payload", "accept", "etag", "last_modified", "timeout", "wait", "retries")
 
 
+_TYPES = {"string": pa.string(), "int": pa.int32(), "timestamp": pa.timestamp("us", tz="UTC")}
+_ANSWER = pa.schema([(n, _TYPES[t]) for n, t in (f.split() for f in http.FIELDS.split(", "))])
+
+
+def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of requests, handed on ``ROWS`` at a time, so that a task never holds the answers of a whole batch."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            rows = [http.answer({k: v for k, v in r.items() if v is not None and v == v}) for r in batch.slice(i, ROWS).to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, _ANSWER)
+
+
 def fetched(requests: DataFrame, parallel: int = PARALLEL) -> DataFrame:
     """A row for each distinct request of a table: url, and any of method, payload, accept, etag, last_modified, timeout, wait, retries.
 
@@ -37,13 +51,7 @@ def fetched(requests: DataFrame, parallel: int = PARALLEL) -> DataFrame:
     that reading them twice does not ask twice.
     """
     asked = requests.select(*(c for c in _ASKED if c in requests.columns)).distinct()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [http.answer({k: v for k, v in r.items() if not pd.isna(v)}) for r in frame.to_dict("records")]
-            yield pd.DataFrame(rows, columns=http.NAMES).astype({"status": "Int32", "attempts": "Int32"})
-
-    return checkpoint(asked.repartition(parallel, F.rand(random.randrange(1 << 30))).mapInPandas(run, http.FIELDS))
+    return checkpoint(asked.repartition(parallel, F.rand(random.randrange(1 << 30))).mapInArrow(answers, http.FIELDS))
 
 
 _LANDED = "url string, status int, body string, etag string, last_modified string, error string, fetched_at timestamp"
@@ -61,9 +69,9 @@ def land(urls: DataFrame, cache: DataFrame | None = None, fetch: Fetch = http_ge
         known = known.join(cache.select("url", F.col("etag").alias("etag_"), F.col("last_modified").alias("last_modified_"), F.col("body").alias("body_")), "url", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for part in (frame.iloc[i : i + ROWS] for frame in frames for i in range(0, len(frame), ROWS)):
             rows = []
-            for r in frame.itertuples(index=False):
+            for r in part.itertuples(index=False):
                 headers = {k: v for k, v in (("If-None-Match", r.etag_), ("If-Modified-Since", r.last_modified_)) if isinstance(v, str) and v}
                 row = ask(r.url, headers, fetch, retries)
                 if row["status"] == 304:

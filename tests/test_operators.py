@@ -242,3 +242,14 @@ def test_a_title_told_often_is_compared_once(spark):
     groups = dedupe.fingerprints(spark.createDataFrame(rows, "group_ord long, block long, title string")).localCheckpoint()
     assert dedupe.title_pairs(dedupe.titles_of(groups, dedupe.alike(groups))).count() == 0
     assert dedupe.similar_pairs(groups).count() == 40 * 39 // 2
+
+
+def test_answers_are_handed_on(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(landing.http, "answer", lambda r: asked.append(r) or dict.fromkeys(landing.http.NAMES) | {"url": r["url"]})
+    whole = landing.answers(iter([pa.RecordBatch.from_pydict({"url": [str(n) for n in range(1000)]})]))
+    first = next(whole)
+    assert (first.num_rows, len(asked)) == (landing.ROWS, landing.ROWS)
+    assert sum(b.num_rows for b in whole) + first.num_rows == 1000
