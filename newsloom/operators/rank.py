@@ -54,6 +54,12 @@ def rubric(routed: DataFrame, name: str) -> DataFrame:
     return routed.where(F.col("section") == name).orderBy(F.col("score").desc(), "ord").limit(RUBRICS[name])
 
 
+def rubrics(routed: DataFrame) -> DataFrame:
+    """The best of all of those sections, as ``rubric`` gives them one by one, from one pass over the stories."""
+    most = F.coalesce(*(F.when(F.col("section") == name, n) for name, n in RUBRICS.items()))
+    return top_per(routed.where(F.col("section").isin(*RUBRICS)), "section", max(RUBRICS.values())).where(F.col("rank") <= most).drop("rank")
+
+
 def published_entry(stories: DataFrame) -> DataFrame:
     """Score to two places, the first six other publishers, their number, an ISO date and its precision."""
     others = F.slice(F.col("publishers"), 2, 1_000_000)

@@ -564,8 +564,7 @@ def international_links(spark, sf):
 SELECT section, doc_id FROM r WHERE place <= CASE section WHEN 'livre' THEN 25 WHEN 'podcast' THEN 10 ELSE 12 END""")
 def rubric_limits(spark, sf):
     rows = rank.route(_typed(spark, sf).withColumns({"ord": F.col("doc_id"), "country": F.lit(None).cast("string")}))
-    out = [rank.rubric(rows, name).select("section", "doc_id") for name in rank.RUBRICS]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return rank.rubrics(rows).select("section", "doc_id")
 
 
 @query(f"WITH RECURSIVE {_A}, {_PRINTS}, {_CLUSTERS}, {_MEMBERS}, q AS (SELECT cluster, source, min(place) AS place FROM m GROUP BY cluster, source), l AS (SELECT cluster, list(source ORDER BY place) AS s FROM q GROUP BY cluster) SELECT m.cluster, floor(m.score * 100 + 0.5) / 100 AS score, array_to_string(list_slice(s, 2, 7), '|') AS reprises, CAST(len(s) - 1 AS BIGINT) AS n_reprises, strftime(date, '%Y-%m-%dT%H:%M:%S.000Z') AS date_iso, CASE WHEN date IS NOT NULL THEN 'jour' END AS date_precision FROM m JOIN l USING (cluster) WHERE place = 1")

@@ -244,6 +244,15 @@ def test_a_title_told_often_is_compared_once(spark):
     assert dedupe.similar_pairs(groups).count() == 40 * 39 // 2
 
 
+def test_rubrics_read_stories_once(spark):
+    rows = [(n, "livre" if n % 3 else "podcast" if n % 2 else "actualite", float(n % 7)) for n in range(120)]
+    routed = spark.createDataFrame(rows, "ord long, section string, score double")
+    one_by_one = {(name, r["ord"]) for name in rank.RUBRICS for r in rank.rubric(routed, name).collect()}
+    found = rank.rubrics(routed)
+    assert {(r["section"], r["ord"]) for r in found.collect()} == one_by_one
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 def test_answers_are_handed_on(monkeypatch):
     import pyarrow as pa
 
