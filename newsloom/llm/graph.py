@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+TASK_LINKS = 100_000
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """In as many parts as ``n`` small rows need, where a shuffle left more: each part would be a file, in every round."""
+    return rows.coalesce(max(1, -(-n // TASK_LINKS)))
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -22,13 +29,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = checkpoint(edges)
     state = _state(edges)
     while True:
+        n = 2 * state[0]  # links never grow in number
+        edges = few(edges, n)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        least = checkpoint(few(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), n))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = checkpoint(large)
-        least = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
+        large = checkpoint(few(large, n))
+        least = checkpoint(few(large.groupBy("a").agg(F.min("b").alias("m")), n))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = checkpoint(few(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), n))
         now = _state(edges)
         if now == state:
             break

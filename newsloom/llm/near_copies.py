@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .graph import connected_components
+from .graph import connected_components, few
 from .simhash import SEED, _links, _with_keys, fingerprint, golay_keys, shingle_hashes
 
 SHINGLE, WORD_BITS, BITS = 5, 7, 14  # the bits at which fingerprints of words and of shingles make a candidate
@@ -60,7 +60,7 @@ def _often(rows: DataFrame, shingle: int) -> np.ndarray:
 
     seen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).mapInArrow(run, "h long")
     low = F.col("h").bitwiseAND(F.lit((1 << MASK_BITS) - 1))
-    return C.bitmap(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n")).limit(MASK_MOST).select(low.alias("slot")), MASK_BITS)
+    return C.bitmap(seen.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(MASK_MOST).select(low.alias("slot")), MASK_BITS)
 
 
 def _prints(rows: DataFrame, often: np.ndarray, shingle: int, most: int | None) -> DataFrame:
@@ -313,8 +313,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: in
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes with ``comp``, the smallest id of those connected by links."""
     found = classes.select("cls", "rep").join(connected_components(links), F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("component", "cls").alias("c_"))
-    found = C.checkpoint(found)
-    return C.checkpoint(found.join(found.groupBy("c_").agg(F.min("rep").alias("comp")), "c_").drop("c_"))
+    n = classes.count()
+    found = C.checkpoint(few(found, n))
+    return C.checkpoint(few(found.join(found.groupBy("c_").agg(F.min("rep").alias("comp")), "c_").drop("c_"), n))
 
 
 def _unordered() -> list[Column]:

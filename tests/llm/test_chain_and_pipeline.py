@@ -136,3 +136,25 @@ def test_pipeline_takes_all_keys_of_near_copies(spark, monkeypatch):
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert [r["doc_id"] for r in kept.collect()] == [0]
     assert found and set(found) == {None}
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """A round's tables are small beside the partitions of a shuffle, each of which would be files of their own."""
+    from newsloom.llm import graph
+
+    parts, checkpoint = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: parts.append((out := checkpoint(df)).rdd.getNumPartitions()) or out)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)], "a long, b long")
+        found = {r["node"]: r["component"] for r in graph.connected_components(links).collect()}
+        monkeypatch.setattr(graph, "TASK_LINKS", 40)
+        again = {r["node"]: r["component"] for r in graph.connected_components(links).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == again == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
+    at = parts.index(23, 1)  # the second run's first
+    assert set(parts[1:at]) == {1} and 1 < max(parts[at + 1 :]) < 23
