@@ -32,6 +32,9 @@ ROW, ROWS = 128, 16  # pieces in a row, rows asked for at once
 # the cut of a byte-level tokenizer; a fixed part of that tokenizer's definition
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+# how a word begins that is white space beside a space, or none; ``str.isspace`` of each character
+_BLANK = pa.array(["", *(c for c in map(chr, range(0x110000)) if c.isspace())])
+
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where it can be seen, else one from 256 on."""
@@ -158,7 +161,7 @@ class ByteLevelEncoder:
         first = offsets[:-1]
         names, code = _strings(words.dictionary), words.indices.to_numpy()
         # white space at a word's start, or none of a word, is white space beside a space, or an empty text
-        odd = np.array([not w or w[0].isspace() for w in names], bool) | (not self.known_kind)
+        odd = pc.is_in(pc.utf8_slice_codeunits(words.dictionary, 0, 1), value_set=_BLANK).to_numpy(zero_copy_only=False) | (not self.known_kind)
         for s in self.special:
             odd |= pc.match_substring(words.dictionary, s).to_numpy(zero_copy_only=False)
         whole = np.logical_or.reduceat(odd[code], first)

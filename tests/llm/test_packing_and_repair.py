@@ -126,3 +126,24 @@ def test_repaired_turns_are_lawful(turns):
     for r in found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role"))).alias("p")).collect():
         initials = "".join(p["role"][:1] for p in r["p"])
         assert __import__("re").fullmatch("(s?(ua)+)?", initials) and [p["place"] for p in r["p"]] == list(range(len(r["p"])))
+
+
+def test_blank_words_are_found_without_a_look_at_each():
+    """A word that begins with any white space sends its text to the library whole; the words are not asked one by one in Python."""
+    import ast
+    import inspect
+    import textwrap
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from newsloom.llm.token_output import ByteLevelEncoder
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = ByteLevelEncoder(f.read())
+    blanks = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["", " ", *(f"one {b}two  three{b} {b}" for b in blanks), "a b", "\u200bone \u200btwo"]
+    ids, sizes = encoder.encode(pa.array(texts), 2)
+    assert ids.tolist() == [x for t in texts for x in [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2]] and len(sizes) == len(texts)
+    calls = ast.walk(ast.parse(textwrap.dedent(inspect.getsource(ByteLevelEncoder.encode))))
+    assert not any(isinstance(c, ast.Attribute) and c.attr == "isspace" for c in calls)
