@@ -23,6 +23,7 @@ from .streaming.stories import Stories
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 WORD = r"[^ \n\t\r]+"
+TITLE = r"^[ \n\t\r]*+(?:[^ \n\t\r]++[ \n\t\r]*+){0,12}+"
 LEXICON = L.Vocabulary(core=["thing", "tion", "dans"], hostile=["was", "pour"], culture=["with", "und"], books=["that", "les"], core_roots=["thin", "schaft"], hostile_roots=["ent"])
 ANALYZER = L.Analyzer({"en": LEXICON, "fr": L.Vocabulary(core=["dans"], core_roots=["men"])})
 GENERIC = ["the", "thing"]
@@ -44,8 +45,9 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _articles(spark: SparkSession, sf: str) -> DataFrame:
     d, i = spread(_table(spark, sf, "documents")), F.col("doc_id")
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.array_join(F.slice(words, 1, 12), " ").alias("title"), (i % 25).alias("country"), (1 + i % 3).cast("double").alias("weight"), F.when(i % 7 != 0, F.timestamp_seconds(1704067200 + 3600 * (i % 700))).alias("date"), F.when(i % 4 == 0, "media").when(i % 4 == 1, "monde").otherwise("google-news").alias("origin"), (i * 37 % 101 / 10.0).cast("double").alias("score"))
+    # the words of the title are told apart in the part that they reach to, not in the whole text
+    words = F.regexp_extract_all(F.regexp_extract(F.coalesce("text", F.lit("")), TITLE, 0), F.lit(WORD), F.lit(0))
+    return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.array_join(words, " ").alias("title"), (i % 25).alias("country"), (1 + i % 3).cast("double").alias("weight"), F.when(i % 7 != 0, F.timestamp_seconds(1704067200 + 3600 * (i % 700))).alias("date"), F.when(i % 4 == 0, "media").when(i % 4 == 1, "monde").otherwise("google-news").alias("origin"), (i * 37 % 101 / 10.0).cast("double").alias("score"))
 
 
 # -- pieces of SQL --------------------------------------------------------------------------------------------------

@@ -244,6 +244,43 @@ def test_a_title_told_often_is_compared_once(spark):
     assert dedupe.similar_pairs(groups).count() == 40 * 39 // 2
 
 
+@pytest.mark.parametrize("rare", [0, 3])
+def test_titles_that_meet_at_two_stems(spark, monkeypatch, rare):
+    """Titles of one stem, of two and of very many, with generic ones, as all pairs give them."""
+    monkeypatch.setattr(dedupe, "RARE", rare)
+    rng = random.Random(8)
+    words = [a + b for a in ("mar", "tol", "ven", "sur") for b in ("ano", "eti", "ubo")]
+    many = [f"w{k:02d}" for k in range(30)]
+    titles = [" ".join(rng.sample(words, rng.choice((3, 4, 5, 7)))) for _ in range(60)]
+    titles += [" ".join(rng.sample(many, n) + rng.sample(words, 2)) for n in (14, 15, 18, 22, 25, 28) for _ in range(3)]
+    titles += ["marano maranoa maranob", "marano maranoc maranod", "marano maranoe tolubo", "marano tolubo tolubox", "w01 w02 w03"]
+    groups = dedupe.fingerprints(spark.createDataFrame([(n, 1, t) for n, t in enumerate(titles)], "group_ord long, block long, title string")).localCheckpoint()
+    found = dedupe.title_pairs(dedupe.titles_of(groups, dedupe.alike(groups)))
+    pairs = sorted((r["a"], r["b"]) for r in found.collect())
+    leads = {r["key"] for r in dedupe.alike(groups).where("key = lead").collect()}
+    assert pairs == [p for p in sorted(_brute(groups)) if set(p) <= leads]
+    telling = sorted((r["a"], r["b"]) for r in dedupe.title_pairs(dedupe.titles_of(groups, dedupe.alike(groups)), ["marano", "w01"]).collect())
+    rows = {r["group_ord"]: r for r in groups.collect()}
+
+    def holds(a, b):
+        x, y, g, h = set(rows[a]["stems"]), set(rows[b]["stems"]), set(rows[a]["grams"]), set(rows[b]["grams"])
+        near = len(x & y) / len(x | y)
+        return near >= 0.55 or (near >= 0.34 and 2 * len(g & h) / (len(g) + len(h)) >= 0.68) or len((x & y) - {"marano", "w01"}) >= 2
+
+    assert telling == [p for p in pairs if holds(*p)] != pairs
+
+
+def test_founders_of_many_pairs_are_taken_off_first(spark):
+    rng = random.Random(9)
+    pairs = [(a, b) for a, b in sorted({tuple(sorted(rng.sample(range(90), 2))) for _ in range(500)})] + [(n, n + 1) for n in range(100, 130)]
+    nodes = spark.createDataFrame([(n,) for n in range(140)], "node long")
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert dedupe._peeled(edges, 0)[1].count() < len(pairs) / 2
+    for peeled in (0, 60):
+        got = dedupe.founders(nodes, edges, peeled=peeled)
+        assert {r["node"]: r["founder"] for r in got.collect()} == sequential(range(140), pairs)
+
+
 def test_rubrics_read_stories_once(spark):
     rows = [(n, "livre" if n % 3 else "podcast" if n % 2 else "actualite", float(n % 7)) for n in range(120)]
     routed = spark.createDataFrame(rows, "ord long, section string, score double")
