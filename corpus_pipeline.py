@@ -25,8 +25,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document of smallest id stays of each group of near copies; a row repeated as it is stays once; rows without an id stay."""
     ship(spark)
     found = near_copies.near_copies(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    gone = C.checkpoint(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    may_go = C.among(gone.unionByName(again), "doc_id")  # the texts of all others need not be sent anywhere
+    rest = docs.where(may_go).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.where(~may_go).unionByName(rest.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4_000_000
@@ -77,6 +77,22 @@ def is_set(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
+AMONG_BITS = 22
+
+
+def among(rows: DataFrame, *columns: str) -> Column:
+    """Whether a row may have the values that some row of ``rows`` has in these columns, by a bitmap of their hashes: false is certain, true
+    is not. So wide rows that no join can concern need not be sent to one."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(1 << AMONG_BITS))
+    wanted = bitmap(rows.select(slot.alias("slot")), AMONG_BITS)
+
+    @F.arrow_udf("boolean")
+    def may(slot: pa.Array) -> pa.Array:
+        return pa.array(is_set(wanted, slot.to_numpy(zero_copy_only=False)))
+
+    return may(slot)
+
+
 # -- inside tasks ---------------------------------------------------------------------------------------------------
 
 

@@ -115,13 +115,25 @@ def _by_key(keyed: DataFrame, columns: tuple[str, ...], run, out: str) -> DataFr
     return keyed.select(*columns).repartition(columns[0]).sortWithinPartitions(*columns[:2]).mapInArrow(whole, out)
 
 
+def _keys(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, n, pos, key): the keys of one row of each class. Only rows that may not be their class's first go through a join."""
+    own = classes.select("cls", F.col("rep").alias("doc_id"))
+    wide = prints.select("doc_id", "cls", "n", "keys")
+    other = C.among(prints.select("doc_id", "cls").join(classes.select("cls", "rep"), "cls").where("doc_id <> rep"), "doc_id", "cls")
+    leading = wide.where(~other).unionByName(wide.where(other).join(own, ["cls", "doc_id"], "left_semi"))
+    return leading.select("cls", "n", F.posexplode("keys").alias("pos", "key"))
+
+
 def _pairs_of(cls: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
 
 
 def _prefix_pairs(keyed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in the runs of one key. Runs of over ``RUN_ROWS`` classes are compared with their first rows only,
-    and their key is given (b null)."""
+    """Pairs (a, b) of classes in the runs of one key. Runs of over ``RUN_ROWS`` classes are compared with their first rows only, and
+    their rows are given as well (key, the class as a, n; b null), so that the keys are sent once."""
+
+    def given(a: pa.Array, b: pa.Array, key: pa.Array, n: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([a, b, key, n], ["a", "b", "key", "n"])
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, cls, n, pos = (table.column(c).to_numpy() for c in ("key", "cls", "n", "pos"))
@@ -134,12 +146,12 @@ def _prefix_pairs(keyed: DataFrame) -> DataFrame:
         def kept(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
             # by length, and by what can follow where this is the first shingle in common
             ok = (cls[i] != cls[j]) & (9 * np.minimum(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j]))
-            if ok.any():
-                yield _pairs_of(cls, i[ok], j[ok])
+            if m := int(ok.sum()):
+                yield given(*_pairs_of(cls, i[ok], j[ok]).columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()))
 
         if (big := size > RUN_ROWS).any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[start[big]]), pa.nulls(int(big.sum()), pa.int64())], ["a", "b"])
             j, first = rows(big), np.repeat(start[big], size[big])
+            yield given(pa.array(cls[j]), pa.nulls(len(j), pa.int64()), pa.array(key[j]), pa.array(n[j].astype(np.int32)))
             for c in range(CENTRES):
                 yield from kept(first + c, j)
         live = rows((size > 1) & (size <= RUN_ROWS))
@@ -148,7 +160,7 @@ def _prefix_pairs(keyed: DataFrame) -> DataFrame:
             live = live[key[live] == key[live + step]]
             yield from kept(live, live + step)
 
-    return _by_key(keyed, ("key", "cls", "n", "pos"), pairs, "a long, b long").distinct()
+    return _by_key(keyed, ("key", "cls", "n", "pos"), pairs, "a long, b long, key long, n int").distinct()
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -336,20 +348,18 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS, word_
     classes = C.checkpoint(prints.groupBy("cls").agg(F.min("fw").alias("fw"), F.min_by("fs", "fw").alias("fs"), F.min("doc_id").alias("rep")))
     keyed = _with_keys(classes.select("fw", "fs", F.col("cls").alias("rep")), golay_keys, ("fw", "fs"))
     golay = C.checkpoint(_links(keyed.repartition("key").sortWithinPartitions("key"), {"fw": word_bits, "fs": bits}).select(*_unordered()).distinct())
-    # one row of each class gives its keys
-    leading = prints.join(classes.select("cls", F.col("rep").alias("doc_id")), ["cls", "doc_id"], "left_semi")
-    by_key = leading.select("cls", "n", F.posexplode("keys").alias("pos", "key"))
-    found = C.checkpoint(_prefix_pairs(by_key))
-    pairs = C.checkpoint(golay.unionByName(found.where("b is not null")).distinct())
+    found = C.checkpoint(_prefix_pairs(_keys(prints, classes)))
+    pairs = C.checkpoint(golay.unionByName(found.where("b is not null").select("a", "b")).distinct())
     links = C.checkpoint(_verified(pairs, rows, classes, shingle))
     joined = _joined(classes, links)
-    hot = found.where("b is null").select(F.col("a").alias("key"))
+    hot = found.where("b is null").select("key", F.col("a").alias("cls"), "n")
     if not hot.isEmpty():
-        cross = by_key.join(hot, "key", "left_semi").join(joined.select("cls", "comp"), "cls")
+        cross = hot.join(joined.select("cls", "comp"), "cls")
         mixed = cross.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        apart = C.checkpoint(cross.join(mixed, "key", "left_semi").select("key", "cls", "comp", "n").dropDuplicates(["key", "cls"]))
+        apart = C.checkpoint(cross.join(mixed, "key", "left_semi").select("key", "cls", "comp", "n"))
         early = apart.groupBy("cls").agg(F.slice(F.sort_array(F.collect_list("key")), 1, EARLY).alias("early"))
-        sketches = leading.select("cls", "sketch").join(early, "cls").dropDuplicates(["cls"])
+        early = C.checkpoint(early.join(classes.select("cls", F.col("rep").alias("doc_id")), "cls"))
+        sketches = prints.select("doc_id", "cls", "sketch").where(C.among(early, "doc_id", "cls")).join(early, ["cls", "doc_id"]).dropDuplicates(["cls", "doc_id"]).drop("doc_id")
         met = C.checkpoint(_candidates(_in_lanes(apart, F.lit(1), LANE_ROWS).join(sketches, "cls"), sigmas))
         needed = C.checkpoint(met.select("cls").distinct().join(classes.select("cls", "rep"), "cls"))
         dealt = _in_lanes(apart.join(met, ["key", "cls"], "left_semi"), F.col("n"), LANE_SHINGLES)

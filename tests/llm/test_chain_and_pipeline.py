@@ -158,3 +158,37 @@ def test_rounds_of_components_write_few_files(spark, monkeypatch):
     assert found == again == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
     at = parts.index(23, 1)  # the second run's first
     assert set(parts[1:at]) == {1} and 1 < max(parts[at + 1 :]) < 23
+
+
+def test_keys_and_texts_of_near_dedup_are_sent_once_or_not_at_all(spark, monkeypatch):
+    from newsloom.llm import common, near_copies
+
+    columns, exploded, runs = [], [], []
+    among, keys, prefix_pairs = common.among, near_copies._keys, near_copies._prefix_pairs
+    monkeypatch.setattr(common, "among", lambda rows, *names: columns.append(out := among(rows, *names)) or out)
+    monkeypatch.setattr(near_copies, "_keys", lambda *a: exploded.append(1) or keys(*a))
+    monkeypatch.setattr(near_copies, "_prefix_pairs", lambda keyed: runs.append((keyed, out := prefix_pairs(keyed))) or out)
+    monkeypatch.setattr(near_copies, "OFTEN", 1000)  # so that shingles of the opening do not come last
+    # a shared opening makes long runs of texts that are no copies; ids of rows that go, repeated, and none
+    opening = [f"open{k}" for k in range(12)]
+    rows = [(n, " ".join(opening + [f"w{n}x{k}" for k in range(12)])) for n in range(30)]
+    whole = [f"c{k}" for k in range(200)]
+    rows += [(100 + n, " ".join([*whole[: 20 * n], f"new{n}", *whole[20 * n :]])) for n in range(3)]
+    kept = sorted([*rows[:31], (7, "another text of seven"), (None, "no id")], key=str)
+    docs = spark.createDataFrame([*rows, rows[3], rows[3], (7, "another text of seven"), (None, "no id"), (None, "no id"), (110, rows[3][1])], "doc_id long, text string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(map(tuple, got.collect()), key=str) == kept
+    # of texts only those that may go or stand twice: ids 3, 7, 101, 102, 110 and none
+    assert {r["doc_id"] for r in docs.where(columns[-1]).collect()} == {3, 7, 101, 102, 110, None}
+    # the keys are made once, and long runs give their rows with the pairs
+    assert len(exploded) == 1 and len(runs) == 1
+    by_key = {}
+    for r in runs[0][0].collect():
+        by_key.setdefault(r["key"], set()).add((r["cls"], r["n"]))
+    want = {(k, *m) for k, members in by_key.items() if len(members) > near_copies.RUN_ROWS for m in members}
+    assert want and {(r["key"], r["a"], r["n"]) for r in runs[0][1].where("b is null").collect()} == want
+    # a row that is surely its class's first goes through no join for its keys
+    n = 1 << 18
+    ids = spark.range(n)
+    assert ids.where(common.among(ids.where("id % 2 = 0"), "id") & F.expr("id % 2 = 0")).count() == n // 2
+    assert ids.where(common.among(ids.where("id < 10"), "id")).count() < 20
