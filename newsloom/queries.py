@@ -451,12 +451,19 @@ def source_dashboard(spark, sf):
     return report.dashboard(f).select(F.col("place").cast("long").alias("place"), "n", F.array_join("names", "|").alias("names"))
 
 
+def _shown_title(item):
+    """An entry's title; the parser tells a blank one by null, SQL by an empty text."""
+    return F.coalesce(item["title"], F.when(item.isNotNull(), ""))
+
+
 @query(None)
 def parsed_feed_items(spark, sf):
     """Each document rendered whole as a feed of one item and parsed again."""
-    d = _articles(spark, sf).select("source", "doc_id", F.format_string("<item><title>%s</title><link>https://x.example/%s</link><description>%s</description></item>", T.escape_html(F.col("title")), F.col("doc_id"), T.escape_html(F.col("text"))).alias("item"))
+    link = F.coalesce(F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string")), F.lit(""))
+    d = _articles(spark, sf).select("source", "doc_id", F.format_string("<item><title>%s</title><link>%s</link><description>%s</description></item>", T.escape_html(F.col("title")), link, T.escape_html(F.col("text"))).alias("item"))
     raw = d.withColumn("body", F.concat(F.lit("<rss><channel><title>t</title>"), F.col("item"), F.lit("</channel></rss>")))
-    return feeds.parse_feeds(raw).select("doc_id", F.size("items").cast("long").alias("n"), F.get("items", 0)["title"].alias("title"), F.get("items", 0)["link"].alias("link"))
+    parsed = feeds.parse_feeds(raw).select("doc_id", F.size("items").cast("long").alias("n"), F.get("items", 0).alias("i"))
+    return parsed.select("doc_id", "n", _shown_title(F.col("i")).alias("title"), "i.link")
 
 
 SQL["parsed_feed_items"] = f"WITH {_A} SELECT doc_id, 1::BIGINT AS n, {_collapse('title')} AS title, 'https://x.example/' || doc_id AS link FROM a"
@@ -506,7 +513,7 @@ SELECT doc_id, ['atom', 'rdf', 'rss'][k + 1] AS format, {_collapse('title')} AS
 def feed_variants(spark, sf):
     parsed = feeds.parse_feeds(_variants(spark, sf)).select("doc_id", "format", F.get("items", 0).alias("i"))
     audio = F.when(F.col("i.audio").isNotNull(), F.concat_ws(" ", "i.audio.url", "i.audio.type", "i.audio.length"))
-    return parsed.select("doc_id", "format", "i.title", "i.link", "i.author", "i.image", audio.alias("audio"), F.array_join("i.categories", "|").alias("categories"), F.unix_seconds(D.parse_date(F.col("i.published_raw"))).alias("published"), "i.summary")
+    return parsed.select("doc_id", "format", _shown_title(F.col("i")).alias("title"), "i.link", "i.author", "i.image", audio.alias("audio"), F.array_join("i.categories", "|").alias("categories"), F.unix_seconds(D.parse_date(F.col("i.published_raw"))).alias("published"), "i.summary")
 
 
 @query(f"""WITH {_A}, x AS (SELECT doc_id, {_collapse('title')} AS t, 'https://x.example/' || doc_id AS guid, {_collapse('text')} AS clean, left({_collapse('text')}, 400) AS cut, doc_id % 2 = 0 AS search FROM a),
@@ -514,9 +521,9 @@ y AS (SELECT *, length(cut) - strpos(reverse(cut), ' ') AS cut_at FROM x)
 SELECT doc_id, 'f::' || guid AS id, CASE WHEN t = '' THEN '(sans titre)' ELSE t END AS title, guid AS canonical, CASE WHEN search THEN 'Paper' ELSE 'Feed' END AS publisher,
   CASE WHEN search AND length(clean) <= 160 THEN '' WHEN length(clean) <= 400 THEN clean ELSE regexp_replace(CASE WHEN contains(cut, ' ') AND cut_at > 240 THEN left(cut, cut_at) ELSE cut END, '[\\s,;:.!?…-]+$', '') || '…' END AS summary FROM y""")
 def feed_articles(spark, sf):
-    """Items of searches, which name their publisher in the title, and of other feeds, as articles."""
+    """Items of searches, which name their publisher in the title where there is one, and of other feeds, as articles."""
     a, search = _articles(spark, sf), F.col("doc_id") % 2 == 0
-    title = F.when(search, F.concat(T.escape_html(F.col("title")), F.lit(" - Paper"))).otherwise(T.escape_html(F.col("title")))
+    title = F.when(search & (T.collapse(F.col("title")) != ""), F.concat(T.escape_html(F.col("title")), F.lit(" - Paper"))).otherwise(T.escape_html(F.col("title")))
     body = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>https://x.example/"), F.col("doc_id").cast("string"), F.lit("</link><source>Paper</source><description>"), T.escape_html(F.col("text")), F.lit("</description></item></channel></rss>"))
     none = {c: F.lit(None).cast("string") for c in ("country", "forced_type", "profile", "feed_language")}
     raw = a.select(F.col("doc_id").alias("feed_ord"), F.lit("f").alias("feed_id"), F.lit("Feed").alias("feed_name"), F.when(search, "google-news").otherwise("media").alias("origin"), "weight", body.alias("body")).withColumns(none)
